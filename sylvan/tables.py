@@ -1,25 +1,24 @@
-"""Schemas of the code-graph tables and views of their current rows."""
+"""Schemas (DDL) of the code-graph tables and views of their current rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-NODES = T.StructType.fromDDL(
+NODES = (
     "id STRING, kind STRING, name STRING, qualified_name STRING, file_path STRING, language STRING, "
     "start_line INT, end_line INT, start_column INT, end_column INT, docstring STRING, signature STRING, "
     "visibility STRING, is_exported BOOLEAN, is_async BOOLEAN, is_static BOOLEAN, is_abstract BOOLEAN, "
     "decorators ARRAY<STRING>, type_parameters ARRAY<STRING>, updated_at BIGINT"
 )
-EDGES = T.StructType.fromDDL(
+EDGES = (
     "edge_seq BIGINT, source STRING, target STRING, kind STRING, metadata MAP<STRING,STRING>, line INT, col INT, provenance STRING"
 )
-FILES = T.StructType.fromDDL(
+FILES = (
     "path STRING, content_hash STRING, language STRING, size BIGINT, modified_at BIGINT, indexed_at BIGINT, node_count INT, errors ARRAY<STRING>"
 )
-CONTENTS = T.StructType.fromDDL("path STRING, content STRING")
-REFS = T.StructType.fromDDL(
+CONTENTS = "path STRING, content STRING"
+REFS = (
     "ref_seq BIGINT, from_node_id STRING, reference_name STRING, reference_kind STRING, line INT, col INT, "
     "candidates ARRAY<STRING>, file_path STRING, language STRING, resolution_status STRING, resolution_reason STRING, resolution_attempted_at BIGINT"
 )
