@@ -36,3 +36,28 @@ def spread(scan: DataFrame, per_core: int = 3) -> DataFrame:
     want = spark.sparkContext.defaultParallelism
     have = scan._jdf.queryExecution().toRdd().getNumPartitions()
     return scan if have >= want else scan.repartition(want * per_core)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors once per application, so that functions run inside
+    Python workers find it however the driver itself was started."""
+    import os
+    import tempfile
+    import zipfile
+
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="sylvan-"), "sylvan_package.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(root)))
+    spark.sparkContext.addPyFile(target)
