@@ -17,6 +17,10 @@ def inverted_index(docs: DataFrame, key: str, text: str) -> DataFrame:
     return words.select(key, F.size("w").alias("length"), F.explode("w").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"), F.max("length").alias("length"))
 
 
+def _equals(term: str):
+    return lambda word: word == term
+
+
 def bm25(docs: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
     """(key, score) of the documents that hold any of the terms, Okapi BM25 as SQLite's full-text search has it.
 
@@ -25,7 +29,7 @@ def bm25(docs: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
     terms = sorted(set(t.lower() for t in terms))
     w = tokens(F.coalesce(F.col(text), F.lit("")))
     counted = docs.select(key, w.alias("w")).select(
-        key, F.size("w").alias("length"), *[F.size(F.filter("w", lambda x, t=t: x == t)).alias(f"tf{i}") for i, t in enumerate(terms)]
+        key, F.size("w").alias("length"), *[F.size(F.filter("w", _equals(t))).alias(f"tf{i}") for i, t in enumerate(terms)]
     )
     facts = counted.agg(
         F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.sum((F.col(f"tf{i}") > 0).cast("int")).alias(f"df{i}") for i in range(len(terms))]
@@ -72,10 +76,9 @@ def line_clusters(ranges: DataFrame, key: str, padding: int = 3, gap: int = 5) -
         key,
         F.greatest(F.col("start_line") - padding, F.lit(1)).alias("s"),
         (F.greatest("end_line", "start_line") + padding).alias("e"),
-    )
+    ).distinct()
     order = W.partitionBy(key).orderBy("s", "e")
     seen = F.max("e").over(order.rowsBetween(W.unboundedPreceding, -1))
-    island = F.sum((seen.isNull() | (F.col("s") > seen + gap)).cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0))
     flagged = padded.withColumn("seen", seen)
     flagged = flagged.withColumn("fresh", (F.col("seen").isNull() | (F.col("s") > F.col("seen") + gap)).cast("int"))
     island = F.sum("fresh").over(order.rowsBetween(W.unboundedPreceding, 0))
