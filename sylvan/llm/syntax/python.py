@@ -22,6 +22,43 @@ KEYWORDS = frozenset(
 AUGMENTED = frozenset("+= -= *= /= %= &= |= ^= <<= >>= **= //= @=".split())
 
 
+FORMATTED = re.compile(r"([rR]?[fFtT][rR]?)(\'\'\'|\"\"\"|'|\")")
+PLAIN = re.compile(r"(?i:[rbu]|br|rb)?(?:\'\'\'(?:\\.|[^\\])*?\'\'\'|\"\"\"(?:\\.|[^\\])*?\"\"\"|'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\")", re.S)
+
+
+def formatted_end(text: str, pos: int, quote: str, raw: bool) -> int:
+    """End of a formatted string whose body begins at ``pos``; its fields may hold any strings. -1 if it has none."""
+    n = len(text)
+    while pos < n:
+        c = text[pos]
+        if text.startswith(quote, pos):
+            return pos + len(quote)
+        if c == "\\":
+            pos += 2
+        elif c == "\n" and len(quote) == 1:
+            return -1
+        elif c == "{" and not text.startswith("{{", pos):
+            depth, pos = 1, pos + 1
+            while pos < n and depth:
+                c = text[pos]
+                m = FORMATTED.match(text, pos)
+                inner = formatted_end(text, m.end(), m[2], "r" in m[1].lower()) if m else -1
+                if inner > 0:
+                    pos = inner
+                    continue
+                m = PLAIN.match(text, pos) if c in "'\"rRbBuU" else None
+                if m and not (c in "rRbBuU" and text[pos - 1].isalnum()):
+                    pos = m.end()
+                    continue
+                if c in "'\"" and text.startswith(quote, pos):
+                    return -1
+                depth += (c in "{[(") - (c in "}])")
+                pos += 1
+        else:
+            pos += 2 if text.startswith(("{{", "}}"), pos) else 1
+    return -1
+
+
 class PythonParser(Parser):
     BINARY = {
         "or": (1, False), "and": (2, False), "in": (4, False), "not in": (4, False), "is": (4, False), "is not": (4, False), "<": (4, False),
@@ -61,6 +98,13 @@ class PythonParser(Parser):
                         break
                 pos, fresh = at, False
                 continue
+            m = FORMATTED.match(text, pos)
+            if m:
+                end = formatted_end(text, m.end(), m[2], "r" in m[1].lower())
+                push("str" if end > 0 else "bad", text[pos:end] if end > 0 else "unterminated string", line)
+                line += text.count("\n", pos, end if end > 0 else n)
+                pos = end if end > 0 else n
+                continue
             m = MASTER.match(text, pos)
             if m is None:
                 push("bad", f"stray character {text[pos]!r}", line)
