@@ -80,6 +80,7 @@ class Engine:
         new = Engine.index(self.spark, fresh, resolve_refs=False)
         queued = sync.requeue_incoming(self.edges, self.nodes, stale)
         nodes, edges = sync.remove_files(self.nodes, self.edges, stale)
+        edges = edges.unionByName(sync.reopen_incoming(self.edges, self.nodes, stale))
         lost = stale.select(F.col("path").alias("file_path"))
         refs = self.unresolved_refs.join(lost, "file_path", "left_anti").unionByName(new.unresolved_refs).unionByName(queued, allowMissingColumns=True)
         out = Engine(

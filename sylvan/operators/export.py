@@ -38,11 +38,11 @@ def tag_lines(nodes: DataFrame) -> DataFrame:
 
 
 def write_tags(nodes: DataFrame, path: str) -> None:
-    """A sorted tags file as text; the rows are range-sorted and written in one file."""
-    spark = nodes.sparkSession
-    lines = tag_lines(nodes).orderBy("name", "file_path", "start_line").select("line")
-    head = spark.createDataFrame([("\n".join(HEAD),)], "line string")
-    head.unionAll(lines).coalesce(1).write.mode("overwrite").text(path)
+    """A sorted tags file as text: the head first, then one line a symbol, in one file."""
+    head = nodes.sparkSession.createDataFrame([(i, h) for i, h in enumerate(HEAD)], "start_line int, line string")
+    head = head.select(F.lit(0).alias("part"), F.lit("").alias("name"), F.lit("").alias("file_path"), "start_line", "line")
+    rows = head.unionByName(tag_lines(nodes).withColumn("part", F.lit(1)))
+    rows.orderBy("part", "name", "file_path", "start_line").select("line").coalesce(1).write.mode("overwrite").text(path)
 
 
 def as_json(rows: DataFrame) -> DataFrame:

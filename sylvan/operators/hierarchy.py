@@ -66,14 +66,15 @@ def _jump(
     name: str,
     sizes: bool = False,
 ) -> tuple[DataFrame, int]:
-    """Pointer doubling. ``start`` has node, ptr (itself at a root), hops and the carried columns.
+    """Pointer doubling. ``start`` has node, ptr, hops (at a root itself and 0; a node that is its own
+    parent has 1) and the carried columns.
 
     Returns the table with a ``closed`` flag (ptr is a root) and the number of rows left open.
     A carried column is folded from the root side: combine(upper, lower). With ``sizes`` the column
     ``size`` grows to the number of nodes at or below each node.
     """
     keep = [c for c in start.columns if c not in ("node", "ptr", "hops", *carry)]
-    table = st.put(start.withColumn("closed", F.col("ptr") == F.col("node")), f"{name}-0")
+    table = st.put(start.withColumn("closed", F.col("hops") == 0), f"{name}-0")
     open_now = table.filter(~F.col("closed")).count()
     step = 0
     while open_now:

@@ -53,3 +53,13 @@ def requeue_incoming(edges: DataFrame, nodes: DataFrame, paths: DataFrame) -> Da
         .filter(F.col("s_path") != F.col("t_path"))
         .select("from_node_id", "reference_name", F.col("kind").alias("reference_kind"), "line", "col", F.col("s_path").alias("file_path"), "language")
     )
+
+
+def reopen_incoming(edges: DataFrame, nodes: DataFrame, paths: DataFrame) -> DataFrame:
+    """Edges from other files into the files that change, with the target written as a name again."""
+    dead = nodes.join(paths.select(F.col("path").alias("file_path")).distinct(), "file_path", "left_semi").select(
+        F.col("id").alias("t_id"), F.col("name").alias("t_name"), F.col("file_path").alias("t_path")
+    )
+    sources = nodes.select(F.col("id").alias("s_id"), F.col("file_path").alias("s_path"))
+    hit = edges.join(dead, F.col("target") == F.col("t_id")).join(sources, F.col("source") == F.col("s_id"))
+    return hit.filter(F.col("s_path") != F.col("t_path")).withColumn("target", F.col("t_name")).select(*edges.columns)
