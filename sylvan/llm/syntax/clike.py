@@ -10,7 +10,7 @@ MASTER = re.compile(
     r"""(?P<ws>[ \t\r\f\v]+|\\\r?\n)|(?P<nl>\n)
     |(?P<comment>//(?:\\\r?\n|[^\n])*|/\*.*?\*/)
     |(?P<bad_comment>/\*.*)
-    |(?P<str>(?:u8|[LuU])?R"([^()\s\\]{0,16})\(.*?\)\2"|(?:u8|[LuU])?"(?:\\.|[^"\\\n])*"|(?:u8|[LuU])?'(?:\\.|[^'\\\n])+')
+    |(?P<str>(?:u8|[LuU])?R"(?P<mark>[^()\s\\]{0,16})\(.*?\)(?P=mark)"|(?:u8|[LuU])?"(?:\\.|[^"\\\n])*"|(?:u8|[LuU])?'(?:\\.|[^'\\\n])+')
     |(?P<bad_str>["'][^\n]*)
     |(?P<num>\.?\d(?:'?[\w.]|[eEpP][+-])*)
     |(?P<id>[A-Za-z_$][\w$]*)
@@ -35,6 +35,8 @@ WORDS = (
     | TAGS
     | frozenset("if else for while do switch case default return break continue goto sizeof namespace using template".split())
 )
+#: names that by custom only macros have
+MACRO = re.compile(r"^(?:_*[A-Z][A-Z0-9_]*|[A-Z][A-Za-z]*_[A-Z0-9_]+|__\w+)$")
 ASSIGN = "= += -= *= /= %= &= |= ^= <<= >>=".split()
 
 
@@ -83,6 +85,8 @@ class CParser(Parser):
             self.i += 1 + (t == "inline")
             while self.k == "id" or self.t == "::":
                 self.i += 1
+            if self.t == "(" and MACRO.match(self.tok[self.i - 1]):
+                self.skip_balanced()
             if self.accept("="):
                 self.qualified()
                 self.expect(";")
@@ -181,10 +185,13 @@ class CParser(Parser):
                 typed = typed or t in ("decltype", "typeof", "__typeof__")
             elif t == "[" and self.peek() == "[" and self.cpp:
                 self.skip_balanced()
+            elif self.k == "id" and self.peek() == "(" and MACRO.match(t) and self.macro_call():
+                typed = True
             elif (self.k == "id" or t == "::" and self.peek_kind() == "id") and t not in WORDS and t != "operator":
                 if typed:
                     # one more type word only where yet another name must follow (an unknown macro came first)
-                    if fixed or not (self.peek_kind() == "id" and self.peek() not in WORDS or self.peek() in BUILTIN):
+                    pointer = self.peek() in ("*", "&") and MACRO.match(self.tok[self.i - 1])
+                    if fixed or not (pointer or self.peek_kind() == "id" and self.peek() not in WORDS or self.peek() in BUILTIN):
                         break
                 elif self.peek() == "(" and self.i > start and not self.cpp:
                     break
@@ -200,10 +207,22 @@ class CParser(Parser):
                 break
         return self.i > start
 
+    def macro_call(self) -> bool:
+        """Over a macro call that stands before a declaration: another name or a pointer must follow."""
+        at = self.i
+        self.i += 1
+        _, fault = self.attempt(self.skip_balanced)
+        if fault is None and (self.k == "id" and self.t not in ("else", "while") or self.t == "*"):
+            return True
+        self.i = at
+        return False
+
     def tagged(self) -> None:
         tag = self.next()
         if tag == "enum" and self.t in ("class", "struct"):
             self.i += 1
+        if self.k == "id" and self.peek_kind() == "id" and MACRO.match(self.t) and self.peek() != "final" and self.peek(2) in ("{", ":", "final", ";"):
+            self.i += 1
         while self.t in CALL_LIKE and self.peek() == "(":
             self.i += 1
             self.skip_balanced()
@@ -294,6 +313,8 @@ class CParser(Parser):
         if self.t in CALL_LIKE and self.peek() == "(":
             self.i += 1
             self.skip_balanced()
+        if self.k == "id" and self.peek_kind() == "id" and MACRO.match(self.t) and self.peek() not in WORDS:
+            self.i += 1
         function = False
         if self.t == "(" and self.peek() in ("*", "&", "^", "&&", "("):
             self.i += 1

@@ -887,7 +887,10 @@ class JsParser(Parser):
             elif t == "await" and k == "id" and (self.peek_kind() in ("id", "num", "str") or self.peek() in ("(", "[", "{", "`")):
                 self.i += 1
             elif t == "<" and self.ts and not self.jsx:
-                self.type_args()
+                if self.peek() == "const" and self.peek(2) == ">":
+                    self.i += 3
+                else:
+                    self.type_args()
             else:
                 break
         self.left_side()

@@ -291,9 +291,7 @@ class PythonParser(Parser):
             return False
         while self.t == "case":
             self.i += 1
-            self.star_list()
-            if self.accept("as"):
-                self.ident()
+            self.patterns()
             if self.accept("if"):
                 self.named()
             self.suite()
@@ -301,6 +299,15 @@ class PythonParser(Parser):
             self.i += 1
         return True
 
+    def patterns(self) -> None:
+        while True:
+            self.accept("*")
+            self.binary(0)
+            if self.accept("as"):
+                self.ident()
+            if not self.accept(",") or self.t in (":", "if"):
+                return
+
     def match_header(self) -> None:
         self.i += 1
         self.star_list()

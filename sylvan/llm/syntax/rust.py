@@ -8,7 +8,7 @@ from sylvan.llm.syntax.base import Parser
 
 MASTER = re.compile(
     r"""(?P<ws>[ \t\r]+)|(?P<nl>\n)|(?P<comment>//[^\n]*)
-    |(?P<str>(?:br|cr|r)(\#*)".*?"\2|(?:b|c)?"(?:\\.|[^"\\])*"|b?'(?:\\(?:x[\da-fA-F]{2}|u\{[\da-fA-F_]+\}|.)|[^'\\\n])')
+    |(?P<str>(?:br|cr|r)(?P<hash>\#*)".*?"(?P=hash)|(?:b|c)?"(?:\\.|[^"\\])*"|b?'(?:\\(?:x[\da-fA-F]{2}|u\{[\da-fA-F_]+\}|.)|[^'\\\n])')
     |(?P<life>'[^\W\d]\w*)
     |(?P<bad_str>["'].*)
     |(?P<num>0[xob][\da-fA-F_]+\w*|\d[\d_]*(?:\.\d[\d_]*|\.(?![.\w]))?(?:[eE][+-]?[\d_]+)?\w*)
