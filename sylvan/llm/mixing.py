@@ -131,7 +131,7 @@ def mix_sources(
         F.sum(F.col("tokens") * F.col("copies")).alias("used_tokens"), F.count("*").alias("n_records"), F.sum("copies").alias("n_copies")
     )
     shares = plan.join(used, "source", "left").fillna(0, ["used_tokens", "n_records", "n_copies"])
-    shares = shares.withColumn("actual_share", F.col("used_tokens") / F.sum("used_tokens").over(W.partitionBy()))
+    shares = shares.withColumn("actual_share", F.col("used_tokens") / F.nullif(F.sum("used_tokens").over(W.partitionBy()), F.lit(0)))
     return chosen, shares.select(
         "source", "target_share", F.coalesce("actual_share", F.lit(0.0)).alias("actual_share"), "max_repeats", "available", "used_tokens", "epochs", "n_records", "n_copies"
     )
