@@ -21,13 +21,16 @@ for _table, _script in ((CYRILLIC, "Cyrillic"), (GREEK, "Greek")):
     for _c, _l in _table.items():
         FROM_LATIN[_script].setdefault(_l, _c)
 
-AMBIGUOUS = frozenset(TO_LATIN) | frozenset(TO_LATIN.values())
 CHUNK = regex.compile(r"\S+")
 TOKEN = regex.compile(r"[\p{L}\p{M}]+")
 #: where a token is cut at changes of case; the vocabulary is counted by the same two rules in Spark
 CUTS = ((r"(\p{Ll})(\p{Lu})", "$1 $2"), (r"(\p{Lu})(\p{Lu}\p{Ll})", "$1 $2"))
 _CUTS = [(regex.compile(a), b.replace("$", "\\")) for a, b in CUTS]
 SCRIPTS = {"Latin": regex.compile(r"\p{Latin}"), "Cyrillic": regex.compile(r"\p{Cyrillic}"), "Greek": regex.compile(r"\p{Greek}")}
+AMBIGUOUS = frozenset(TO_LATIN) | frozenset(TO_LATIN.values())
+FOREIGN = regex.compile(r"[\p{Cyrillic}\p{Greek}]")
+_same = regex.escape("".join(sorted(AMBIGUOUS)))
+SURE = {name: regex.compile(rf"[\p{{{name}}}--[{_same}]]", regex.V1) for name in SCRIPTS}
 _ODD = regex.compile(r"[^\t\n\x20-\x7e]")
 _cache: dict[str, str] = {}
 
@@ -133,7 +136,7 @@ def candidates(token: str, context: str) -> list[str]:
 
 def tells(text: str) -> bool:
     """Whether a letter shows which script the text is in."""
-    return any(script_of(c) and c not in AMBIGUOUS for c in text)
+    return any(p.search(text) for p in SURE.values())
 
 
 def odd_tokens(text: str) -> list[tuple[int, int, str, list[str]]]:
@@ -141,8 +144,8 @@ def odd_tokens(text: str) -> list[tuple[int, int, str, list[str]]]:
 
     The context of a token is the script of the other tokens in its run of non-blank characters (a file
     name, a call) where these tell, else that of its line, else that of the text."""
-    if text.isascii():
-        return []
+    if text.isascii() or not FOREIGN.search(text):
+        return []  # all letters are Latin, whatever their accents
     whole, out = leading_script(text), []
     for chunk in CHUNK.finditer(text):
         if chunk.group().isascii() and whole == "Latin":
@@ -167,15 +170,11 @@ def odd_tokens(text: str) -> list[tuple[int, int, str, list[str]]]:
 def leading_script(text: str) -> str:
     """The script of most letters that look like no letter of another script; where there are none, of
     most letters; Latin where there are no letters. Look-alikes prove nothing about the script they are in."""
-    if text.isascii():
+    if text.isascii() or not FOREIGN.search(text):
         return "Latin"
-    sure: dict[str, int] = {}
-    every: dict[str, int] = {}
-    for c in text:
-        script = script_of(c)
-        if script:
-            every[script] = every.get(script, 0) + 1
-            if c not in AMBIGUOUS:
-                sure[script] = sure.get(script, 0) + 1
-    counts = sure or every
-    return max(counts, key=lambda s: (counts[s], s)) if counts else "Latin"
+    for patterns in (SURE, SCRIPTS):
+        counts = {name: len(p.findall(text)) for name, p in patterns.items()}
+        best = max(counts, key=lambda s: (counts[s], s))
+        if counts[best]:
+            return best
+    return "Latin"
