@@ -29,6 +29,7 @@ class Parser:
         self.kind: list[str] = []
         self.tok: list[str] = []
         self.line: list[int] = []
+        self.view: list[str] = []  # what the rules compare: the text, or a mark for strings
         self.i = 0
         self.tokenize(text)
 
@@ -40,18 +41,18 @@ class Parser:
         self.kind.append(kind)
         self.tok.append(tok)
         self.line.append(line)
+        self.view.append(tok if kind != "str" else "\0str")
 
     @property
     def t(self) -> str:
-        return self.tok[self.i] if self.kind[self.i] != "str" else "\0str"
+        return self.view[self.i]
 
     @property
     def k(self) -> str:
         return self.kind[self.i]
 
     def peek(self, n: int = 1) -> str:
-        j = min(self.i + n, len(self.tok) - 1)
-        return self.tok[j] if self.kind[j] != "str" else "\0str"
+        return self.view[min(self.i + n, len(self.view) - 1)]
 
     def peek_kind(self, n: int = 1) -> str:
         return self.kind[min(self.i + n, len(self.tok) - 1)]
@@ -71,12 +72,12 @@ class Parser:
         return Fault(self.line[self.i], f"unexpected {shown!r}" + (f", wanted {wanted}" if wanted else ""))
 
     def expect(self, tok: str) -> None:
-        if self.t != tok:
+        if self.view[self.i] != tok:
             raise self.fault(repr(tok))
         self.i += 1
 
     def accept(self, tok: str) -> bool:
-        if self.t == tok:
+        if self.view[self.i] == tok:
             self.i += 1
             return True
         return False

@@ -35,7 +35,7 @@ class GoParser(Parser):
         self.level = 0  # below 0: a brace opens the body of a control clause
         lex(self, text, MASTER, newline_token=True)
         kinds, toks, lines = self.kind, self.tok, self.line
-        self.kind, self.tok, self.line = [], [], []
+        self.kind, self.tok, self.line, self.view = [], [], [], []
         for k, t, n in zip(kinds, toks, lines):
             if k in ("nl", "eof"):
                 if self.kind and (self.kind[-1] in ("num", "str") or self.kind[-1] == "id" and self.tok[-1] not in KEYWORDS or self.tok[-1] in ENDS and self.kind[-1] != "str"):

@@ -51,6 +51,7 @@ class JsParser(Parser):
     def push_at(self, kind: str, tok: str, start: int, end: int, after: bool) -> None:
         self.kind.append(kind)
         self.tok.append(tok)
+        self.view.append(tok if kind != "str" else "\0str")
         self.line.append(self.now)
         self.starts_at.append(start)
         self.ends.append(end)
@@ -126,20 +127,32 @@ class JsParser(Parser):
                 self.at, self.now = self.ends[j - 1], self.line[j - 1] + self.text.count("\n", self.starts_at[j - 1], self.ends[j - 1])
             else:
                 self.at, self.now = 0, 1
-            for part in (self.kind, self.tok, self.line, self.starts_at, self.ends, self.after_line):
+            for part in (self.kind, self.tok, self.view, self.line, self.starts_at, self.ends, self.after_line):
                 del part[j:]
 
     @property
     def t(self) -> str:
-        self.ensure(self.i)
-        j = min(self.i, len(self.tok) - 1)
-        return self.tok[j] if self.kind[j] != "str" else "\0str"
+        if self.i >= len(self.view):
+            self.ensure(self.i)
+        return self.view[min(self.i, len(self.view) - 1)]
 
     @property
     def k(self) -> str:
-        self.ensure(self.i)
+        if self.i >= len(self.kind):
+            self.ensure(self.i)
         return self.kind[min(self.i, len(self.kind) - 1)]
 
+    def expect(self, tok: str) -> None:
+        if self.t != tok:
+            raise self.fault(repr(tok))
+        self.i += 1
+
+    def accept(self, tok: str) -> bool:
+        if self.t == tok:
+            self.i += 1
+            return True
+        return False
+
     @property
     def fresh(self) -> bool:
         """The current token begins a line."""

@@ -136,20 +136,17 @@ class PythonParser(Parser):
             push("dedent", "", line)
         push("eof", "", line)
 
-    @property
-    def t(self) -> str:
-        k = self.kind[self.i]
-        return self.tok[self.i] if k in ("id", "op", "num") else "\0" + k
+    def push(self, kind: str, tok: str, line: int) -> None:
+        self.kind.append(kind)
+        self.tok.append(tok)
+        self.line.append(line)
+        self.view.append(tok if kind in ("id", "op", "num") else "\0" + kind)
 
     def fault(self, wanted: str = "") -> Fault:
         if self.k in ("indent", "dedent"):
             return Fault(self.line[self.i], f"unexpected {self.k}")
         return super().fault(wanted)
 
-    def peek(self, n: int = 1) -> str:
-        j = min(self.i + n, len(self.tok) - 1)
-        return self.tok[j] if self.kind[j] in ("id", "op", "num") else "\0" + self.kind[j]
-
     def ident(self) -> None:
         if self.k != "id" or self.t in KEYWORDS:
             raise self.fault("a name")

@@ -72,7 +72,7 @@ class RustParser(Parser):
         """Accepts the first character of a compound operator such as ``>>`` or ``&&``."""
         t = self.t
         if self.k == "op" and len(t) > 1 and t[0] == tok and t in (">>", ">=", ">>=", "&&", "||", "<<"):
-            self.tok[self.i] = t[1:]
+            self.tok[self.i] = self.view[self.i] = t[1:]
             return True
         return False
 
