@@ -190,10 +190,10 @@ FROM edges e JOIN cur t ON t.id = e.target AND t.file_path IN (SELECT path FROM
     "stream_change_windows": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL",
     "stream_sessions": """WITH a AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
 b AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM a) SELECT user_id, min(ts) AS session_start, count(*) AS n FROM b GROUP BY user_id, k""",
-    "hybrid_exact": f"WITH {_ARMS} SELECT id, round(score, 4) AS score FROM a_exact",
-    "hybrid_like": f"WITH {_ARMS} SELECT id, round(score, 4) AS score FROM a_like",
-    "hybrid_prefix": f"WITH {_ARMS} SELECT id, round(score, 4) AS score FROM a_prefix",
-    "hybrid_compound": f"WITH {_ARMS} SELECT id, round(score, 4) AS score FROM a_compound",
+    "hybrid_exact": f"WITH {_ARMS} SELECT id, round(score, 4)::DOUBLE AS score FROM a_exact",
+    "hybrid_like": f"WITH {_ARMS} SELECT id, round(score, 4)::DOUBLE AS score FROM a_like",
+    "hybrid_prefix": f"WITH {_ARMS} SELECT id, round(score, 4)::DOUBLE AS score FROM a_prefix",
+    "hybrid_compound": f"WITH {_ARMS} SELECT id, round(score, 4)::DOUBLE AS score FROM a_compound",
     "hybrid_search": f"""WITH {_ARMS}, fused AS (SELECT id, max(score) AS score, arg_max(arm, (score, arm)) AS arm FROM (SELECT *, 'exact' AS arm FROM a_exact UNION ALL SELECT *, 'like' FROM a_like
 UNION ALL SELECT *, 'prefix' FROM a_prefix UNION ALL SELECT *, 'compound' FROM a_compound) GROUP BY id),
 boost AS (SELECT f.id, h.name, h.file_path, h.start_line, f.arm, CASE WHEN h.hits >= 2 THEN f.score * (1 + 0.35 * h.hits) ELSE f.score * 0.62 END AS score FROM fused f JOIN hits h ON h.id = f.id),
