@@ -169,7 +169,7 @@ class Engine:
         return text_search.bm25(self.file_contents, "path", "content", terms).orderBy(F.desc("score"), "path").limit(limit)
 
     def context(self, task: str, max_nodes: int = 20) -> DataFrame:
-        ranked = hybrid.hybrid_search(self.nodes, task, max_nodes=max_nodes)
+        ranked = hybrid.hybrid_search(self.nodes, self.file_contents, task, max_nodes=max_nodes)
         return hybrid.diversity_cap(ranked, max_nodes).orderBy(F.desc("score"), "id")
 
     def context_markdown(self, task: str, max_nodes: int = 20) -> str:

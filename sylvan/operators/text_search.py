@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,19 +19,30 @@ def inverted_index(docs: DataFrame, key: str, text: str) -> DataFrame:
     return words.select(key, F.size("w").alias("length"), F.explode("w").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"), F.max("length").alias("length"))
 
 
-def _equals(term: str):
-    return lambda word: word == term
+def _count(w: str, term: str) -> Column:
+    """How often a word, or the parts of a compound (``bind_frame``) in a row, stand in the words ``w``."""
+    parts = [p for p in re.split(r"[\W_]+", term) if p]
+    if not parts:
+        return F.lit(0)
+
+    def here(word: Column, i: Column) -> Column:
+        same = word == parts[0]
+        for k, part in enumerate(parts[1:], 1):
+            same = same & (F.get(F.col(w), i + k) == part)
+        return same
+
+    return F.size(F.filter(w, here))
 
 
 def bm25(docs: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
     """(key, score) of the documents that hold any of the terms, Okapi BM25 as SQLite's full-text search has it.
 
-    For given terms no index is built: their counts are taken in the scan, and document frequencies and the
+    A term of several words counts where they follow each other. For given terms no index is built: their counts are taken in the scan, and document frequencies and the
     mean length are one aggregated row."""
     terms = sorted(set(t.lower() for t in terms))
     w = tokens(F.coalesce(F.col(text), F.lit("")))
     counted = docs.select(key, w.alias("w")).select(
-        key, F.size("w").alias("length"), *[F.size(F.filter("w", _equals(t))).alias(f"tf{i}") for i, t in enumerate(terms)]
+        key, F.size("w").alias("length"), *[_count("w", t).alias(f"tf{i}") for i, t in enumerate(terms)]
     )
     facts = counted.agg(
         F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.sum((F.col(f"tf{i}") > 0).cast("int")).alias(f"df{i}") for i in range(len(terms))]
@@ -47,16 +60,19 @@ def bm25(docs: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
     return counted.filter(some).crossJoin(F.broadcast(facts)).select(key, score.alias("score"))
 
 
+def _hit_lines(docs: DataFrame, key: str, text: str, terms: list[str]) -> tuple[DataFrame, Column]:
+    lines = docs.select(key, F.posexplode(text_lines(F.lower(F.coalesce(F.col(text), F.lit(""))))).alias("pos", "line"))
+    hits = [F.col("line").contains(t).cast("int").alias(f"h{i}") for i, t in enumerate(terms)]
+    total = sum((F.col(f"h{i}") for i in range(1, len(terms))), F.col("h0"))
+    return lines.select(key, (F.col("pos") + 1).alias("line_no"), *hits).filter(total > 0), total
+
+
 def proximity(docs: DataFrame, key: str, text: str, terms: list[str], width: int = 80) -> DataFrame:
     """Best window of ``width`` lines per document: most different terms, then most hits, then the first.
 
     Only lines with a hit begin a window that can win, and only those are kept; the window looks ahead by
     line numbers, so the lines between cost nothing."""
-    lines = docs.select(key, F.posexplode(text_lines(F.lower(F.coalesce(F.col(text), F.lit(""))))).alias("pos", "line"))
-    hits = [F.col("line").contains(t).cast("int").alias(f"h{i}") for i, t in enumerate(terms)]
-    some = lines.select(key, (F.col("pos") + 1).alias("line_no"), *hits)
-    total = sum((F.col(f"h{i}") for i in range(1, len(terms))), F.col("h0"))
-    some = some.filter(total > 0)
+    some, total = _hit_lines(docs, key, text, terms)
     ahead = W.partitionBy(key).orderBy("line_no").rangeBetween(0, width - 1)
     n_terms = sum((F.max(f"h{i}").over(ahead) for i in range(1, len(terms))), F.max("h0").over(ahead))
     density = F.sum(total).over(ahead)
@@ -70,6 +86,16 @@ def proximity(docs: DataFrame, key: str, text: str, terms: list[str], width: int
     )
 
 
+def window_hits(docs: DataFrame, key: str, text: str, terms: list[str], width: int = 80) -> DataFrame:
+    """The best window of each document (see ``proximity``) with what stands in it: (key, n_terms, density,
+    matched: which of the terms, hit_lines: at most ``width`` line numbers)."""
+    best = proximity(docs, key, text, terms, width).withColumnRenamed("line_no", "first")
+    some, _ = _hit_lines(docs, key, text, terms)
+    inside = some.join(best, key).filter((F.col("line_no") >= F.col("first")) & (F.col("line_no") < F.col("first") + width))
+    matched = F.array(*[F.max(f"h{i}") for i in range(len(terms))])
+    return inside.groupBy(key, "n_terms", "density").agg(matched.alias("matched"), F.collect_list("line_no").alias("hit_lines"))
+
+
 def line_clusters(ranges: DataFrame, key: str, padding: int = 3, gap: int = 5) -> DataFrame:
     """Padded line ranges (key, start_line, end_line) merged where they are at most ``gap`` lines apart."""
     padded = ranges.select(

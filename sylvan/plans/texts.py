@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvan.functions.kinds import LOW_VALUE, WEIGHT, case_sql
-from sylvan.functions.terms import title_case
+from sylvan.functions.kinds import IMPLEMENTATION_BIAS, LOW_VALUE, WEIGHT, case_sql
+from sylvan.functions.terms import match_terms, title_case
 from sylvan.operators import hybrid, sync, text_search
 from sylvan.plans.symbols import CUR, CURF, TEST_SQL, files, nodes
 from sylvan.streaming import changes
@@ -121,7 +121,8 @@ QUERIES = {
     "hybrid_like": lambda s, d: scored(hybrid.like_arm(nodes(s, d), T)),
     "hybrid_prefix": lambda s, d: scored(hybrid.prefix_arm(nodes(s, d), T)),
     "hybrid_compound": lambda s, d: scored(hybrid.compound_arm(nodes(s, d), T)),
-    "hybrid_search": lambda s, d: hybrid.hybrid_search(nodes(s, d), TASK),
+    "hybrid_content": lambda s, d: scored(hybrid.content_arm(nodes(s, d), read(s, d, "file_contents"), T)),
+    "hybrid_search": lambda s, d: hybrid.hybrid_search(nodes(s, d), read(s, d, "file_contents"), TASK),
     "explore_by_file": explore_by_file,
     "file_diversity_cap": capped,
     "non_prod_cap": uncommon,
@@ -165,6 +166,44 @@ a_like AS (SELECT id, max(score) AS score FROM (SELECT id, round((55.0 + kw + CA
 a_prefix AS (SELECT id, max(score) AS score FROM (SELECT id, round(75.0 + kw + greatest(0.0, 10.0 - (length(name) - length(title)) / 3.0) + rel, 6) AS score FROM hits JOIN titles ON starts_with(name, title)
   WHERE kind IN ({_DEF}) QUALIFY row_number() OVER (PARTITION BY title ORDER BY length(name), file_path, start_line, id) <= 15) GROUP BY id),
 a_compound AS (SELECT id, round(score, 6) AS score FROM (SELECT *, 70.0 + 24.0 * hits + kw + rel + greatest(0.0, 10.0 - length(name) / 6.0) AS score FROM hits WHERE kind NOT IN ({_LOW}) AND hits >= 2) ORDER BY score DESC, length(name), file_path, start_line, id LIMIT 5)"""
+
+
+def _words_tf(term: str) -> str:
+    parts = [p for p in term.split("_") if p]
+    same = " AND ".join(f"w[i + {k}] = '{p}'" for k, p in enumerate(parts))
+    return f"len(list_filter(range(1, len(w) + 1), lambda i: coalesce({same}, false)))::DOUBLE"
+
+
+_M = sorted({t.lower() for t in match_terms(TASK)})
+_N = range(len(T.terms))
+_RANK = " + ".join(
+    f"CASE WHEN tf{i} > 0 THEN greatest(ln((n - df{i} + 0.5) / (df{i} + 0.5)), 1e-6) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * length / mean)) ELSE 0 END" for i in range(len(_M))
+)
+_CH = " + ".join(f"h{i}" for i in _N)
+_CWIN = "OVER (PARTITION BY path ORDER BY line_no RANGE BETWEEN CURRENT ROW AND 79 FOLLOWING)"
+#: the content arm after ``_ARMS``: a_content (id, score)
+CONTENT_SQL = f"""{_ONE}, {_LINES}, c_t AS (SELECT path, {_TOK.format('content')} AS w FROM one WHERE path IS NOT NULL),
+c_c AS (SELECT path, len(w) AS length, {', '.join(f'{_words_tf(t)} AS tf{i}' for i, t in enumerate(_M))} FROM c_t),
+c_f AS (SELECT count(*) AS n, avg(length) AS mean, {', '.join(f'count(*) FILTER (WHERE tf{i} > 0)::DOUBLE AS df{i}' for i in range(len(_M)))} FROM c_c),
+c_rank AS (SELECT path, {_RANK} AS rank FROM c_c, c_f WHERE {' OR '.join(f'tf{i} > 0' for i in range(len(_M)))} ORDER BY rank DESC, path LIMIT 20),
+c_h AS (SELECT path, line_no, {', '.join(f"contains(line, '{t}')::INT AS h{i}" for i, t in enumerate(T.terms))} FROM l), c_k AS (SELECT * FROM c_h WHERE {_CH} > 0),
+c_w AS (SELECT path, line_no, {' + '.join(f'max(h{i}) {_CWIN}' for i in _N)} AS n, sum({_CH}) {_CWIN} AS density FROM c_k),
+c_b AS (SELECT * FROM c_w QUALIFY row_number() OVER (PARTITION BY path ORDER BY n DESC, density DESC, line_no) = 1),
+c_near AS (SELECT b.path AS file_path, any_value(b.n) AS n, any_value(b.density) AS density, list(k.line_no) AS at, {', '.join(f'max(h{i}) AS m{i}' for i in _N)}
+  FROM c_b b JOIN c_k k ON k.path = b.path AND k.line_no BETWEEN b.line_no AND b.line_no + 79 GROUP BY b.path),
+c_base AS (SELECT *, {_REL} + 18 * (n - 1) + 3 * greatest(density - n, 0) AS base FROM c_near),
+c_first AS (SELECT b.*, 40 + r.rank + 22 * n + base AS file_score FROM c_base b JOIN c_rank r ON r.path = b.file_path),
+c_files AS (SELECT * FROM (SELECT * FROM c_first UNION ALL SELECT *, 20 * n + base FROM c_base WHERE NOT EXISTS (SELECT 1 FROM c_first)) ORDER BY file_score DESC, n DESC, file_path LIMIT 15),
+c_n AS (SELECT h.*, f.file_score, {' + '.join(f"m{i} * contains({_HAY.replace('file_path', 'h.file_path')}, '{t}')::INT" for i, t in enumerate(T.terms))} AS node_hits,
+  list_min(list_transform(f.at, lambda x: greatest(h.start_line - x, x - greatest(h.end_line, h.start_line), 0))) AS far FROM hits h JOIN c_files f ON f.file_path = h.file_path WHERE h.kind NOT IN ({_LOW})),
+c_s AS (SELECT *, round((38.0 + file_score + kw + {case_sql(IMPLEMENTATION_BIAS, 'kind', 0)} + 18 * node_hits + CASE WHEN far = 0 THEN 35 WHEN far <= 5 THEN 24 WHEN far <= 25 THEN 12 ELSE 0 END)
+  * CASE WHEN {TEST_SQL.format('file_path')} THEN 0.35 ELSE 1.0 END, 6) AS score FROM c_n),
+c_up AS (SELECT s.*, o.id AS oid, o.start_line AS ostart, row_number() OVER (PARTITION BY s.id ORDER BY greatest(o.end_line - o.start_line, 0), o.start_line, o.start_column, o.end_line DESC, o.id) AS pick
+  FROM c_s s LEFT JOIN cur o ON s.kind IN ('variable', 'field', 'property') AND o.kind IN ('function', 'method', 'class', 'struct', 'interface', 'trait') AND o.file_path = s.file_path
+  AND o.start_line <= s.start_line AND greatest(o.end_line, o.start_line) >= s.start_line AND o.id <> s.id),
+c_top AS (SELECT coalesce(oid, id) AS id, score FROM c_up WHERE pick = 1
+  QUALIFY row_number() OVER (PARTITION BY file_path ORDER BY score DESC, node_hits DESC, coalesce(ostart, start_line), start_line, start_column, end_line DESC, id) <= 5),
+a_content AS (SELECT id, max(score) AS score FROM c_top GROUP BY id)"""
 _CAP = "SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY file_path ORDER BY end_line DESC, id) AS r FROM cur) WHERE r <= 20"
 _NONPROD = f"({TEST_SQL.format('file_path')} OR regexp_matches(lower(file_path), '/(example|examples|sample|samples|fixture|fixtures|mock|mocks)/'))"
 
@@ -194,6 +233,7 @@ b AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDE
     "hybrid_like": f"WITH {_ARMS} SELECT id, round(score, 4)::DOUBLE AS score FROM a_like",
     "hybrid_prefix": f"WITH {_ARMS} SELECT id, round(score, 4)::DOUBLE AS score FROM a_prefix",
     "hybrid_compound": f"WITH {_ARMS} SELECT id, round(score, 4)::DOUBLE AS score FROM a_compound",
+    "hybrid_content": f"WITH {_ARMS}, {CONTENT_SQL} SELECT id, round(score, 4)::DOUBLE AS score FROM a_content",
     "hybrid_search": f"""WITH {_ARMS}, fused AS (SELECT id, max(score) AS score, arg_max(arm, (score, arm)) AS arm FROM (SELECT *, 'exact' AS arm FROM a_exact UNION ALL SELECT *, 'like' FROM a_like
 UNION ALL SELECT *, 'prefix' FROM a_prefix UNION ALL SELECT *, 'compound' FROM a_compound) GROUP BY id),
 boost AS (SELECT f.id, h.name, h.file_path, h.start_line, f.arm, CASE WHEN h.hits >= 2 THEN f.score * (1 + 0.35 * h.hits) ELSE f.score * 0.62 END AS score FROM fused f JOIN hits h ON h.id = f.id),
