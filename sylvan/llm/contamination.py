@@ -19,14 +19,14 @@ from pyspark.sql import functions as F
 
 from sylvan.llm.fm_index import FMIndex
 from sylvan.llm.leak_words import stretches, words
+from sylvan.llm.shared_phrases import COMMON_WORDS, shared_places, with_shared_places
 from sylvan.session import spread
+from sylvan.staging import Staging
 from sylvan.tables import read
 
 SEED = 3
 SHORTEST = 8
 SHARE = 0.4
-COMMON_WORDS = 8
-COMMON_ITEMS = 3
 SHARD_WORDS = 400_000
 MAX_ITEMS = 20_000
 
@@ -44,19 +44,16 @@ class ItemSet:
     places: list[list[tuple[int, int]]]
 
 
-def prepare(rows: list[tuple[int, str]]) -> ItemSet:
+def prepare(rows: list[tuple[int, str]], places: list[list[int]] | None = None) -> ItemSet:
+    """Places: where in each item shared phrases begin, if that was counted over more items than these."""
     codes: dict[str, int] = {}
-    items = [(i, [codes.setdefault(w, len(codes) + 2) for w in words(t)]) for i, t in rows]
-    seen: dict[tuple, set[int]] = defaultdict(set)
-    for k, (_, ws) in enumerate(items):
-        for j in range(len(ws) - COMMON_WORDS + 1):
-            seen[tuple(ws[j : j + COMMON_WORDS])].add(k)
+    split = [words(t) for _, t in rows]
+    items = [(i, [codes.setdefault(w, len(codes) + 2) for w in ws]) for (i, _), ws in zip(rows, split)]
     counts = []
-    for _, ws in items:
+    for ws, at in zip(split, shared_places(split) if places is None else places):
         own = np.ones(len(ws), bool)
-        for j in range(len(ws) - COMMON_WORDS + 1):
-            if len(seen[tuple(ws[j : j + COMMON_WORDS])]) >= COMMON_ITEMS:
-                own[j : j + COMMON_WORDS] = False
+        for j in at:
+            own[j : j + COMMON_WORDS] = False
         counts.append(own)
     where: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
     for k, (_, ws) in enumerate(items):
@@ -172,12 +169,15 @@ def leaked_items(documents: DataFrame, items: DataFrame, *, shard_words: int = S
     spark = documents.sparkSession
     items = items.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text").distinct()
     blocks = max(1, -(-items.count() // max_items))
+    if blocks > 1:  # what is shared is counted over all items, not over those of one block
+        items = Staging(spark, "items").put(with_shared_places(items), "places")
     docs = spread(documents.select("doc_id", "text")).filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     out = None
     for b in range(blocks):
         block = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        rows = sorted((r["item_id"], r["text"]) for r in block.collect())  # at most about max_items rows
-        shared = spark.sparkContext.broadcast(prepare(rows))
+        rows = sorted(tuple(r) for r in block.collect())  # at most about max_items rows
+        places = [r[2] for r in rows] if blocks > 1 else None
+        shared = spark.sparkContext.broadcast(prepare([r[:2] for r in rows], places))
         part = docs.mapInPandas(_searcher(shared, shard_words), FOUND)
         out = part if out is None else out.unionByName(part)
     best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct("share", "spans")).alias("m"))
