@@ -162,7 +162,8 @@ def leaked_items(documents: DataFrame, items: DataFrame, *, shard_words: int = S
 
     A pair counts from a share of two fifths on, in running stretches of eight words or more (all of a shorter
     item). Layout, case, punctuation, markup, encoding, order of stretches and single exchanged words do not
-    matter; words in phrases that three or more items share are not counted. Null ids and texts take no part, items
+    matter; words in phrases that three or more different items share are not counted (equal and nearly equal texts are
+    one item there, see ``shared_phrases``). Null ids and texts take no part, items
     under three words never match, repeated rows give a pair once, empty tables give no rows, other columns are
     ignored. Items are sent to the corpus in blocks of at most ``max_items``, each a pass over the corpus.
     """

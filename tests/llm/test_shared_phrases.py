@@ -1,4 +1,6 @@
-from sylvan.llm.contamination import leaked_items
+import numpy as np
+
+from sylvan.llm.contamination import leaked_items, prepare, search_shard
 from sylvan.llm.leak_words import words
 from sylvan.llm.shared_phrases import shared_places, with_shared_places
 
@@ -15,7 +17,13 @@ def test_an_instruction_is_shared_whatever_the_blocks(spark):
     assert one == many and not any(doc == 1 for doc, *_ in one)
 
 
+def test_copies_and_versions_of_one_text_are_found():
+    p = prepare(ITEMS)
+    hit = {r[1] for r in search_shard(p, [7], [np.array([p.codes.get(w, 1) for w in words(COPY)], np.int64)])}
+    assert hit == {10, 11, 12, 20, 21, 22, 23}
+
+
 def test_the_table_and_the_list_give_the_same_places(spark):
     got = {r["item_id"]: r["places"] for r in with_shared_places(spark.createDataFrame(ITEMS, "item_id bigint, text string")).collect()}
     want = dict(zip([i for i, _ in ITEMS], shared_places([words(t) for _, t in ITEMS])))
-    assert got == want and want[3]
+    assert got == want and want[3] and not want[10] and not want[21]
