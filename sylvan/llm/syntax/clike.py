@@ -18,6 +18,13 @@ MASTER = re.compile(
     re.X | re.S | re.ASCII,
 )
 DIRECTIVE = re.compile(r"^[ \t]*#[ \t]*(?:[a-z]+\b|$)(?:\\\r?\n|//[^\n]*|/\*.*?\*/|[^\n\\/]|\\|/)*", re.M | re.S)
+#: what comments and strings hide, and the directives whose balance counts
+CONDITIONAL = re.compile(
+    r"""^(?:[ \t]|/\*(?:[^*]|\*(?!/))*\*/)*\#(?:[ \t]|/\*(?:[^*]|\*(?!/))*\*/)*(?P<word>ifdef|ifndef|if|elifdef|elifndef|elif|else|endif)\b
+    |//(?:\\\r?\n|[^\n])*|/\*.*?(?:\*/|\Z)
+    |\bR"(?P<mark>[^()\s\\]{0,16})\(.*?\)(?P=mark)"|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'""",
+    re.X | re.M | re.S,
+)
 
 QUALIFIERS = frozenset(
     "const static extern inline register volatile typedef constexpr consteval constinit virtual explicit mutable friend "
@@ -49,10 +56,32 @@ class CParser(Parser):
     cpp = False
 
     def tokenize(self, text: str) -> None:
+        if "#" in text:
+            self.conditionals(text)
         # directives become blank lines, so that later tokens keep their line numbers
         text = DIRECTIVE.sub(lambda m: re.sub(r"[^\n]+", "", m.group()), text)
         lex(self, text, MASTER)
 
+    def conditionals(self, text: str) -> None:
+        """Errors for #else, #elif and #endif without their #if, and for an #if that the file does not close."""
+        open_: list[bool] = []  # per open #if: whether its #else has been seen
+        line, at = 1, 0
+        for m in CONDITIONAL.finditer(text):
+            word = m["word"]
+            if word is None:
+                continue
+            line, at = line + text.count("\n", at, m.start("word")), m.start("word")
+            if word.startswith("if"):
+                open_.append(False)
+            elif not open_ or word != "endif" and open_[-1]:
+                self.errors.append((line, f"unexpected '#{word}'"))
+            elif word == "endif":
+                open_.pop()
+            elif word == "else":
+                open_[-1] = True
+        if open_:
+            self.errors.append((line + text.count("\n", at), "unexpected end of file"))
+
     # -- declarations ---------------------------------------------------
     def program(self) -> None:
         while self.k != "eof":
