@@ -97,6 +97,9 @@ class Parser:
             del self.errors[seen:]
             fault.reached = reached
             return None, fault
+        except RecursionError:  # what a trial has stored is no error of the text
+            del self.errors[seen:]
+            raise
 
     def skip_balanced(self) -> None:
         """Over a bracketed group of any tokens."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 
 from sylvan.llm.syntax.base import MERGE, Parser
+from sylvan.llm.syntax.brackets import too_deep_faults
 from sylvan.llm.syntax.clike import CParser, CppParser, EsqlParser
 from sylvan.llm.syntax.go import GoParser
 from sylvan.llm.syntax.javascript import JsParser, JsxParser, TsParser, TsxParser
@@ -57,16 +58,20 @@ def cause(text: str, errors: list[tuple[int, str]]) -> str:
 
 def check_source(text: str | None, language: str | None) -> tuple[bool, str | None, list[tuple[int, str]]]:
     """(accepted, first cause, all errors). Null text, empty text and unknown languages are accepted;
-    so is a text nested deeper than the parser follows."""
+    a text nested deeper than the parser follows is judged by the errors up to there, its brackets, strings and end."""
     parser = LANGUAGES.get(language or "")
     if parser is None or not text or not text.strip():
         return True, None, []
     if sys.getrecursionlimit() < DEPTH:
         sys.setrecursionlimit(DEPTH)
+    found = None
     try:
-        errors = parser(text).parse()
+        found = parser(text)
+        errors = found.parse()
     except RecursionError:
-        return True, "too deep", []
+        errors = too_deep_faults(found, text, language)
+        if not errors:
+            return True, "too deep", []
     if not errors:
         return True, None, []
     errors = sorted(errors)
