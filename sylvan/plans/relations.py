@@ -68,7 +68,7 @@ QUERIES = {
     "callees": lambda s, d: graph.callees(nodes(s, d), edges(s, d)),
     "callees_by_source_name": lambda s, d: graph.callees(nodes(s, d), edges(s, d), by_name=True),
     "references_to": lambda s, d: graph.references_to(nodes(s, d), edges(s, d)),
-    "call_graph": lambda s, d: graph.call_graph(nodes(s, d), edges(s, d), nodes(s, d).filter("kind = 'method'")),
+    "call_graph": lambda s, d: graph.call_graph(nodes(s, d), edges(s, d), nodes(s, d)),
     "uncalled_functions": lambda s, d: graph.uncalled_functions(nodes(s, d), edges(s, d)),
     "fan_in": fan_in,
     "fan_in_topk": lambda s, d: graph.degree(edges(s, d), "target"),
