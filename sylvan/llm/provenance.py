@@ -24,6 +24,7 @@ from sylvan.tables import read
 MANGLED_SD = 1.0
 #: share of names that stay apart once digits are folded, under which the names of a dense text come from a template
 TEMPLATE_DIVERSITY = 0.85
+NUMBERED_DIVERSITY, NUMBERED_NAMES = 0.5, 20  # outside dense layout: most names are numbered copies of others
 DENSE_LINE = 250
 MEAN_DENSE_LINE = 150
 DATA_SHARE = 0.5
@@ -123,6 +124,7 @@ def file_provenance(files: DataFrame, contents: DataFrame) -> DataFrame:
     code = (F.col("odd_share") < 0.005) & (F.col("wordy") >= 3)
     mangled = dense & code & ((F.col("names_sd") >= MANGLED_SD) | (F.col("diversity") < TEMPLATE_DIVERSITY))
     mainly_data = (F.col("literal_share") >= DATA_SHARE) & (F.col("literal_chars") >= DATA_CHARS)
+    numbered = ~dense & (F.col("diversity") < NUMBERED_DIVERSITY) & (F.col("n_names") >= NUMBERED_NAMES)
     verdict = (
         F.when(F.col("head_evidence") == "copy notice", "vendored")
         .when(F.col("head_evidence") == "tool notice", "generated")
@@ -130,12 +132,14 @@ def file_provenance(files: DataFrame, contents: DataFrame) -> DataFrame:
         .when(F.col("path_evidence") != "", "generated")
         .when(mangled, "minified")
         .when(mainly_data, "data")
+        .when(numbered, "generated")
     )
     evidence = (
         F.when(F.col("head_evidence") != "", F.col("head_evidence"))
         .when(F.col("path_evidence") != "", F.col("path_evidence"))
         .when(mangled, "mangled names")
         .when(mainly_data, "mostly literals")
+        .when(numbered, "template names")
     )
     return scored.select(
         "path", "repository", "language", verdict.alias("verdict"), evidence.alias("evidence"), "entropy", "names_sd", "diversity", "literal_share", "literal_chars",
