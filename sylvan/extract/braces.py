@@ -312,7 +312,9 @@ CALL = re.compile(r"(?<![\w$.#@])(?P<new>new\s+)?(?P<name>[A-Za-z_$][\w$]*(?:(?:
 
 
 def calls(out: Result, code: str, lines: Lines, language: str, file: Symbol | None) -> None:
-    functions = [s for s in out.symbols if s.kind in ("function", "method") and s.stop]
+    functions = sorted((s for s in out.symbols if s.kind in ("function", "method") and s.stop), key=lambda s: (s.offset, -s.stop))
+    around: list[Symbol] = []  # functions open at the current offset, outermost first; sites come in order
+    following = 0
     heads = {(s.name.lstrip("~"), s.start_line) for s in functions}
     for m in CALL.finditer(code):
         name = re.split(r"\.|->|::|\?\.", m["name"])[-1]
@@ -321,10 +323,12 @@ def calls(out: Result, code: str, lines: Lines, language: str, file: Symbol | No
         line, col = lines.at(m.start("name"))
         if name in NO_CALL or (name, line) in heads:
             continue
-        owner = None
-        for s in functions:
-            if s.offset < m.start() <= s.stop and (owner is None or s.offset > owner.offset):
-                owner = s
+        while following < len(functions) and functions[following].offset < m.start():
+            around.append(functions[following])
+            following += 1
+        while around and around[-1].stop < m.start():
+            around.pop()
+        owner = next((s for s in reversed(around) if s.stop >= m.start()), None)
         if owner is None:
             continue
         out.link(owner, name, "calls", line, col)

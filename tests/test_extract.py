@@ -71,3 +71,31 @@ def test_embedded_sql_tables():
 @pytest.mark.parametrize("text", ["", "\n", "{", "}}}", "((((", "\"", "class", "fn", "\x00\x01", "a" * 5000])
 def test_odd_texts_do_not_fail(language, text):
     extract_file("p/x", language, text)
+
+
+CALLBACKS = [
+    ("a.js", "javascript", "function g() {}\nfunction f(x) {\n  x.then(g, h);\n  other(g);\n}\n", 1),
+    ("a.js", "javascript", "function g() {}\nfunction f(x) {\n  x.on('a', g);\n  then(g);\n}\n", 1),
+    ("a.js", "javascript", "function g() {}\nfunction f(x) {\n  // setTimeout(g, 1)\n  y = 'setTimeout(g)';\n}\n", 0),
+    ("a.py", "python", "def g(): pass\ndef f(xs):\n    threading.Thread(name='x', target=g).start()\n", 1),
+    ("a.py", "python", "def g(): pass\ndef f(xs):\n    return sorted(xs(1, 2), key=g)\n", 1),
+    ("a.py", "python", "def g(): pass\ndef f(xs):\n    return sorted(g, xs)\n", 0),
+    ("a.go", "go", "package p\nfunc g() {}\nfunc f() {\n\thttp.HandleFunc(path(1, 2), g)\n}\n", 1),
+    ("a.rs", "rust", "fn g(a: i64) -> i64 { a }\nfn f(x: Vec<i64>) { x.iter().map(g); }\n", 1),
+    ("a.c", "c", "void g(int a) { a = 1; }\nint f(void) {\n  pthread_create(&t, attr(1, 2), g, 0);\n  return 0;\n}\n", 1),
+    ("a.c", "c", "void g(int a) { a = 1; }\nint f(void) {\n  signal(2, g);\n  return 0;\n}\n", 1),
+]
+
+
+@pytest.mark.parametrize("path,language,text,n", CALLBACKS)
+def test_functions_handed_over(path, language, text, n):
+    r = extract_file(path, language, text)
+    assert sum(e.provenance == "heuristic" for e in r.links) == n
+
+
+def test_registrations_make_edges_in_the_table(spark):
+    from sylvan.extract.run import extract_rows, links_of
+
+    sources = spark.createDataFrame([(p, lang, t) for p, lang, t, n in CALLBACKS[3:4] + CALLBACKS[6:9]], "path string, language string, content string")
+    got = links_of(extract_rows(sources)).filter("provenance = 'heuristic'")
+    assert {(r["file_path"], r["metadata"]["synthesizedBy"]) for r in got.collect()} == {(p, "callback") for p in ("a.py", "a.go", "a.rs", "a.c")}
