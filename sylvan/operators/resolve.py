@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import builtins as _py
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,24 +16,32 @@ CALL_KINDS = ("calls", "instantiates")
 C_PREFIXES = (
     "gtk_ Gtk gdk_ g_object_ g_signal_ g_list_ g_slist_ g_hash_table_ g_malloc g_free g_strdup Xt Xm CWnd:: CString:: GetWindow SetWindow ScreenToClient Exception JNI"
 ).split()
-_JS = (
-    "console parseInt parseFloat isNaN isFinite setTimeout clearTimeout setInterval clearInterval setImmediate queueMicrotask requestAnimationFrame fetch require module exports "
-    "Promise Array Object String Number Boolean Symbol Map Set WeakMap WeakSet Date RegExp Error TypeError RangeError SyntaxError JSON Math Reflect Proxy Intl BigInt "
-    "encodeURIComponent decodeURIComponent encodeURI decodeURI window document process global globalThis Buffer alert"
-).split()
+_PYTHON = """print len range str int float list dict set tuple bool type isinstance issubclass hasattr getattr setattr delattr callable repr abs all any bin bool bytes bytearray chr complex dir divmod enumerate
+eval exec filter format frozenset globals hash help hex id input iter map max min next object oct open ord pow property round slice sorted sum super vars zip None True False Ellipsis NotImplemented append extend
+pop insert remove sort reverse copy keys values items get update setdefault clear add remove discard union intersection difference join split strip lower upper replace find startswith endswith""".split()
+_JS = """console window document process require module exports Promise Array Object String Number Boolean Function RegExp Date Error Math JSON Map Set WeakMap WeakSet Symbol Proxy Reflect Intl NaN Infinity undefined
+parseInt parseFloat isNaN isFinite encodeURI decodeURI encodeURIComponent decodeURIComponent eval setTimeout setInterval clearTimeout clearInterval fetch await async let const class extends super this new typeof
+instanceof void delete throw try catch finally if else for while do switch case break continue return with try Buffer URL URLSearchParams Headers Request Response""".split()
+_GO = """make new len cap append copy delete panic recover print println error true false iota nil append cap close complex imag real fmt os io net http json encoding log sync context time math strings strconv bytes bufio""".split()
+_RUST = """Some None Ok Err true false std core alloc vec string stringify println eprintln print eprint format panic unreachable unimplemented todo assert assert_eq assert_ne debug_assert debug_assert_eq
+debug_assert_ne derive macro_rules use pub mod crate self super Option Result Vec String Vec HashMap HashSet Box Rc Arc Cell RefCell Mutex RwLock Condvar Drop Clone Copy PartialEq PartialOrd Eq Ord Default Debug Display
+Hash Borrow Into From Iterator IntoIterator Extend DoubleEndedIterator Future Async await yield""".split()
+_ESQL = "varchar date mod count sum avg min max substr substring trim upper lower".split()
+_SHELL = """cd echo export local readonly shift test true false printf read return source set unset trap type ulimit umask wait exit break continue eval exec grep egrep fgrep sed awk cat cut sort uniq find xargs rm mv cp
+mkdir rmdir chmod chown ln pwd dirname basename head tail wc tr tee date sleep kill ps expr printf""".split()
+#: the C library's best-known names; a project's full list (several hundred) is passed as ``names``
+_C = """printf fprintf sprintf snprintf scanf sscanf puts fputs putchar getchar fgets malloc calloc realloc free memcpy memmove memset memcmp strcpy strncpy strcat strncat strcmp strncmp
+strlen strchr strrchr strstr strtok strtol strtoul strtod strdup atoi atol atof abs exit abort atexit getenv setenv system qsort bsearch rand srand time clock difftime localtime gmtime
+strftime fopen fclose fread fwrite fseek ftell fflush feof ferror perror open close read write lseek dup dup2 fork execv wait waitpid kill signal pipe socket bind listen accept connect
+send recv select poll pthread_create pthread_join pthread_mutex_lock pthread_mutex_unlock setjmp longjmp assert isalpha isdigit isspace isalnum isupper islower toupper tolower""".split()
 NAMES = {
-    "python": sorted(n for n in dir(_py) if not n.startswith("_")),
+    "python": _PYTHON,
     **dict.fromkeys(("javascript", "typescript", "tsx", "jsx"), _JS),
-    "go": "append cap clear close complex copy delete imag len make max min new panic print println real recover error string int bool byte rune float64 int64".split(),
-    "rust": "println! print! eprintln! eprint! format! vec! panic! assert! assert_eq! assert_ne! debug_assert! todo! unimplemented! unreachable! write! writeln! Some None Ok Err Box Vec String Option Result".split(),
-    **dict.fromkeys(
-        C_FAMILY,
-        "printf fprintf sprintf snprintf scanf sscanf puts fputs putchar getchar fgets malloc calloc realloc free memcpy memmove memset memcmp strcpy strncpy strcat strncat strcmp strncmp "
-        "strlen strchr strrchr strstr strtok strtol strtoul strtod strdup atoi atol atof abs exit abort atexit getenv setenv system qsort bsearch rand srand time clock difftime localtime gmtime "
-        "strftime fopen fclose fread fwrite fseek ftell fflush feof ferror perror open close read write lseek dup dup2 fork execv wait waitpid kill signal pipe socket bind listen accept connect "
-        "send recv select poll pthread_create pthread_join pthread_mutex_lock pthread_mutex_unlock setjmp longjmp assert isalpha isdigit isspace isalnum isupper islower toupper tolower".split(),
-    ),
-    "shell": "cd echo export local readonly shift test true false printf read return source set unset trap type ulimit umask wait exit break continue eval exec grep egrep fgrep sed awk cat cut sort uniq find xargs rm mv cp mkdir rmdir chmod chown ln pwd dirname basename head tail wc tr tee date sleep kill ps expr".split(),
+    "go": _GO,
+    "rust": _RUST,
+    **dict.fromkeys(("c", "cpp"), _C),
+    "esqlc": _C + _ESQL,
+    "shell": _SHELL,
 }
 
 
@@ -52,9 +58,10 @@ def has_external_prefix(name: Column) -> Column:
     return out
 
 
-def flag_builtins(refs: DataFrame) -> DataFrame:
-    """Adds is_builtin: the name belongs to the language or, in the C family, starts like a known library."""
-    table = builtin_table(refs.sparkSession).select(F.col("language").alias("b_language"), F.col("name").alias("b_name"))
+def flag_builtins(refs: DataFrame, names: dict[str, list[str]] | None = None) -> DataFrame:
+    """Adds is_builtin: the name belongs to the language (``names``, language -> names, instead of the usual
+    ones) or, in the C family, starts like a known library."""
+    table = builtin_table(refs.sparkSession, names).select(F.col("language").alias("b_language"), F.col("name").alias("b_name"))
     hit = (F.col("reference_name") == F.col("b_name")) & (F.col("language") == F.col("b_language"))
     out = refs.join(F.broadcast(table), hit, "left")  # a fixed table
     is_builtin = F.col("b_name").isNotNull() | (F.col("language").isin(*C_FAMILY) & has_external_prefix(F.col("reference_name")))
@@ -107,7 +114,7 @@ def possible_names(groups: DataFrame, nodes: DataFrame) -> DataFrame:
     return pieces.join(known, "piece", "left_semi").select("reference_name").distinct()
 
 
-def resolve_groups(refs: DataFrame, nodes: DataFrame, imported: DataFrame | None = None, candidates: int = 50) -> DataFrame:
+def resolve_groups(refs: DataFrame, nodes: DataFrame, imported: DataFrame | None = None, candidates: int = 50, names: dict[str, list[str]] | None = None) -> DataFrame:
     """One row per pending group with the node it resolves to and the rule that decided, else the reason.
 
     Rules in order: builtin names are external; a symbol of that name in the same file; the only candidate
@@ -119,7 +126,7 @@ def resolve_groups(refs: DataFrame, nodes: DataFrame, imported: DataFrame | None
     changes. Candidates are ranked per distinct name, at most ``candidates`` each, before they meet groups.
     """
     groups = unresolved_groups(refs)
-    flagged = flag_builtins(groups)
+    flagged = flag_builtins(groups, names)
     possible = possible_names(groups, nodes).withColumn("possible", F.lit(True))
     base = flagged.join(possible, "reference_name", "left").withColumn("possible", F.coalesce("possible", F.lit(False)))
 

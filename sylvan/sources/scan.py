@@ -6,9 +6,8 @@ import json
 import os
 import posixpath
 import re
-from fnmatch import fnmatchcase
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,27 +31,64 @@ def ignore_patterns(root: str, names: tuple[str, ...] = (".gitignore", ".ignore"
     return out
 
 
+def rule_pattern(folder: str, rule: str) -> str:
+    """The paths an ignore rule covers, as a pattern that Python and the JVM read alike."""
+    base = "" if folder == "." else re.escape(folder + "/")
+    only_dirs, anchored = rule.endswith("/"), "/" in rule.rstrip("/")
+    body, i = [], 0
+    rule = rule.strip("/")
+    while i < len(rule):
+        c = rule[i]
+        end = rule.find("]", i + 2)
+        if rule.startswith("**/", i):
+            body.append("(?:.*/)?")
+            i += 2
+        elif rule.startswith("**", i):
+            body.append(".*")
+            i += 1
+        elif c == "*":
+            body.append("[^/]*")
+        elif c == "?":
+            body.append("[^/]")
+        elif c == "[" and end > 0:
+            inside = rule[i + 1 : end].replace("\\", "\\\\").replace("[", "\\[").replace("&", "\\&")
+            body.append("[" + ("^" + inside[1:] if inside[:1] == "!" else inside) + "]")
+            i = end
+        else:
+            body.append(re.escape(c))
+        i += 1
+    return f"^{base}{'' if anchored else '(?:.*/)?'}{''.join(body)}{'/' if only_dirs else '(?:/|$)'}"
+
+
+def rule_runs(patterns: list[tuple[str, str, bool]]) -> list[tuple[str, bool]]:
+    """Ignore rules in order, neighbours that decide alike as one pattern."""
+    runs: list[tuple[str, bool]] = []
+    for folder, rule, negated in patterns:
+        one = rule_pattern(folder, rule)
+        if runs and runs[-1][1] == negated:
+            runs[-1] = (f"{runs[-1][0]}|{one}", negated)
+        else:
+            runs.append((one, negated))
+    return runs
+
+
 def ignored(path: str, patterns: list[tuple[str, str, bool]]) -> bool:
     """Whether a relative path falls under the ignore rules; the last rule that fits decides."""
     verdict = False
-    for folder, pattern, negated in patterns:
-        base = "" if folder == "." else folder + "/"
-        if not path.startswith(base):
-            continue
-        rest, rule = path[len(base) :], pattern
-        only_dirs = rule.endswith("/")
-        rule = rule.rstrip("/")
-        parts = rest.split("/")
-        heads = ["/".join(parts[: i + 1]) for i in range(len(parts) - (1 if only_dirs else 0))]
-        if "/" in rule.strip("/") or rule.startswith("/"):
-            hit = any(fnmatchcase(h, rule.lstrip("/").replace("**/", "*")) for h in heads)
-        else:
-            hit = any(fnmatchcase(p, rule) for p in (parts[:-1] if only_dirs else parts))
-        if hit:
+    for pattern, negated in rule_runs(patterns):
+        if re.search(pattern, path):
             verdict = not negated
     return verdict
 
 
+def ignored_path(path: Column, patterns: list[tuple[str, str, bool]]) -> Column:
+    """``ignored`` as an expression."""
+    verdict = F.lit(False)
+    for pattern, negated in rule_runs(patterns):
+        verdict = F.when(path.rlike(pattern), F.lit(not negated)).otherwise(verdict)
+    return verdict
+
+
 def scan_files(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES) -> DataFrame:
     """(path, content, language, size, modified_at) of the source files below a folder.
 
@@ -65,9 +101,8 @@ def scan_files(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES) -> Da
     files = raw.select(path.alias("path"), "length", "modificationTime", "content").filter((F.col("length") <= max_bytes) & ~skipped_path(F.col("path")))
     rules = ignore_patterns(base) if "://" not in base else []
     if rules:
-        check = F.udf(lambda p: ignored(p, rules), T.BooleanType())
-        files = files.filter(~check("path"))
-    text = F.col("content").cast("string")
+        files = files.filter(~ignored_path(F.col("path"), rules))
+    text = F.make_valid_utf8(F.col("content").cast("string"))
     files = files.withColumn("text", text)
     return files.select(
         "path",

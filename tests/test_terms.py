@@ -35,3 +35,25 @@ def test_ignore_rules_last_one_decides():
     rules[2] = ("a", "keep.log", True)
     assert ignored("x/y.log", rules) and ignored("out/a.c", rules) and not ignored("a/keep.log", rules)
     assert ignored("top.c", rules) and not ignored("b/top.c", rules)
+
+
+def test_ignore_rules_as_patterns():
+    rules = [(".", "*.log", False), (".", "!keep.log", False), (".", "out/", False), (".", "/top.c", False), ("a", "b/**/x?.py", False), (".", "z[0-9].c", False), (".", "**/gen/*.ts", False)]
+    rules[1] = (".", "keep.log", True)
+    for path, want in [("q/r.log", True), ("q/keep.log", False), ("out/x", True), ("p/out/x", True), ("out", False), ("p/top.c", False), ("a/b/c/d/x1.py", True), ("a/b/x1.py", True), ("b/x1.py", False),
+                       ("m/z7.c", True), ("m/zz.c", False), ("k/gen/a.ts", True), ("k/gen/a/b.ts", False), ("a(b)/x.c", False)]:
+        assert ignored(path, rules) is want, path
+
+
+def test_bytes_that_are_no_utf8_become_the_replacement_character(spark, tmp_path):
+    from sylvan.api import Engine
+    from sylvan.sources.scan import scan_files
+
+    (tmp_path / "a.py").write_bytes(b"# caf\xe9\ndef load(x):\n    return trim(x)\n")
+    (tmp_path / "b.py").write_bytes(b"def trim(x):\n    return x\n")
+    (tmp_path / "skip.py").write_bytes(b"def gone(x):\n    return x\n")
+    (tmp_path / ".gitignore").write_text("skip*\n")
+    found = scan_files(spark, str(tmp_path))
+    assert {r["path"]: r["content"][:6] for r in found.collect()} == {"a.py": "# caf\ufffd", "b.py": "def tr"}
+    engine = Engine.index(spark, found)
+    assert {r["name"] for r in engine.callers("trim").collect()} == {"load"}
