@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from typing import NamedTuple
 
 
 class Fault(Exception):
@@ -18,6 +19,18 @@ CLOSERS = {v: k for k, v in OPENERS.items()}
 MERGE = re.compile(r"^(<{7}|>{7}|\|{7})( |$)|^={7}$", re.M)
 
 
+class FunctionNode(NamedTuple):
+    """A function in the tree, by token positions; -1 for what it lacks."""
+
+    first: int
+    name: int
+    opening: int  # brackets of the parameters
+    closing: int
+    body: int
+    last: int
+    doc: int = -1  # a documentation string inside the body
+
+
 class Parser:
     """Token cursor over parallel lists of kinds, texts and lines; the last token is ``eof``."""
 
@@ -30,6 +43,9 @@ class Parser:
         self.tok: list[str] = []
         self.line: list[int] = []
         self.view: list[str] = []  # what the rules compare: the text, or a mark for strings
+        self.comments: list[tuple[int, str]] = []  # (line, text)
+        self.functions: list[FunctionNode] = []
+        self.bracket = (-1, -1)  # the parameters last read
         self.i = 0
         self.tokenize(text)
 
@@ -89,18 +105,28 @@ class Parser:
 
     def attempt(self, rule, *args):
         """Runs a rule; on a fault the cursor goes back and the fault is returned in the second place."""
-        at, seen = self.i, len(self.errors)
+        at, seen, built = self.i, len(self.errors), len(self.functions)
         try:
             return rule(*args), None
         except Fault as fault:
             reached, self.i = self.i, at
-            del self.errors[seen:]
+            del self.errors[seen:], self.functions[built:]
             fault.reached = reached
             return None, fault
         except RecursionError:  # what a trial has stored is no error of the text
             del self.errors[seen:]
             raise
 
+    def matching(self, opening: int) -> int:
+        """Position of the bracket that closes the one at ``opening`` in a text that was read without fault."""
+        depth = 0
+        for i in range(opening, self.i):
+            if self.kind[i] == "op":
+                depth += (self.tok[i] in OPENERS) - (self.tok[i] in CLOSERS)
+                if depth == 0:
+                    return i
+        return -1
+
     def skip_balanced(self) -> None:
         """Over a bracketed group of any tokens."""
         stack = []
@@ -121,9 +147,10 @@ class Parser:
     def binary(self, least: int = 0) -> None:
         """Precedence climbing."""
         self.unary()
+        rules = self.BINARY
         while True:
             op = self.operator()
-            rule = self.BINARY.get(op)
+            rule = rules.get(op)
             if rule is None or rule[0] < least:
                 return
             self.take_operator(op)
@@ -179,24 +206,49 @@ class Parser:
 
 def lex(parser: Parser, text: str, master: re.Pattern, newline_token: bool = False) -> None:
     """Tokenizes by a pattern whose groups name the kinds; ``ws``, ``comment`` and ``nl`` only count lines."""
-    line, pos, n = 1, 0, len(text)
-    push = parser.push
-    while pos < n:
-        m = master.match(text, pos)
-        if m is None:
-            push("bad", f"stray character {text[pos]!r}", line)
+    line, pos = 1, 0
+    kinds, toks, lines, views = parser.kind, parser.tok, parser.line, parser.view
+
+    def bad(message: str) -> None:
+        kinds.append("bad")
+        toks.append(message)
+        lines.append(line)
+        views.append(message)
+
+    for m in master.finditer(text):
+        start, end = m.span()
+        while pos < start:
+            bad(f"stray character {text[pos]!r}")
             pos += 1
-            continue
-        kind, s = m.lastgroup, m.group()
-        if kind in ("ws", "comment"):
-            pass
+        kind, pos = m.lastgroup, end
+        if kind == "ws":
+            line += text.count("\n", start, end)
+        elif kind in ("id", "op", "num"):
+            s = m.group()
+            kinds.append(kind)
+            toks.append(s)
+            lines.append(line)
+            views.append(s)
         elif kind == "nl":
             if newline_token:
-                push("nl", "\n", line)
-        elif kind.startswith("bad"):
-            push("bad", {"bad_comment": "unterminated comment", "bad_str": "unterminated string"}.get(kind, "stray text"), line)
+                kinds.append("nl")
+                toks.append("\n")
+                lines.append(line)
+                views.append("\n")
+            line += 1
         else:
-            push(kind, s, line)
-        line += s.count("\n")
-        pos = m.end()
-    push("eof", "", line)
+            s = m.group()
+            if kind == "comment":
+                parser.comments.append((line, s))
+            elif kind.startswith("bad"):
+                bad({"bad_comment": "unterminated comment", "bad_str": "unterminated string"}.get(kind, "stray text"))
+            else:
+                kinds.append(kind)
+                toks.append(s)
+                lines.append(line)
+                views.append("\0str" if kind == "str" else s)
+            line += s.count("\n")
+    while pos < len(text):
+        bad(f"stray character {text[pos]!r}")
+        pos += 1
+    parser.push("eof", "", line)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import re
 
-from sylvan.llm.syntax.base import Fault, Parser, lex
+from sylvan.llm.syntax.base import Fault, FunctionNode, Parser, lex
 
 MASTER = re.compile(
-    r"""(?P<ws>[ \t\r\f\v]+|\\\r?\n)|(?P<nl>\n)
+    r"""(?P<ws>[ \t\r\n\f\v]+|\\\r?\n)
     |(?P<comment>//(?:\\\r?\n|[^\n])*|/\*.*?\*/)
     |(?P<bad_comment>/\*.*)
     |(?P<str>(?:u8|[LuU])?R"(?P<mark>[^()\s\\]{0,16})\(.*?\)(?P=mark)"|(?:u8|[LuU])?"(?:\\.|[^"\\\n])*"|(?:u8|[LuU])?'(?:\\.|[^'\\\n])+')
@@ -283,6 +283,7 @@ class CParser(Parser):
                 self.body(self.external)
 
     def declaration(self, scope: bool = False) -> None:
+        first = self.i
         had = self.specifiers()
         if self.t == ";":
             if not had:
@@ -314,7 +315,9 @@ class CParser(Parser):
                     if self.k != "id":
                         raise self.fault("'{'")
                     self.declaration()
+                (opening, closing), body = self.bracket, self.i
                 self.block()
+                self.functions.append(FunctionNode(first, opening - 1, opening, closing, body, self.i - 1))
                 while self.t == "catch":
                     self.i += 1
                     self.skip_balanced()
@@ -380,6 +383,7 @@ class CParser(Parser):
                 return function
 
     def parameters(self) -> None:
+        opening = self.i
         self.expect("(")
         while self.t != ")":
             if self.accept("..."):
@@ -394,6 +398,7 @@ class CParser(Parser):
             if not self.accept(","):
                 break
         self.expect(")")
+        self.bracket = (opening, self.i - 1)
 
     def parameter(self) -> None:
         if not self.specifiers():
@@ -753,6 +758,10 @@ class CParser(Parser):
                 self.initializer()
         elif t == "[" and self.cpp:
             self.skip_balanced()
+            if self.t == "<":  # parameters of a generic lambda
+                self.angles()
+                if self.accept("requires"):
+                    self.binary(4)
             if self.t == "(":
                 self.parameters()
             while self.t in ("mutable", "noexcept", "constexpr"):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from sylvan.llm.syntax.base import Parser, lex
+from sylvan.llm.syntax.base import FunctionNode, Parser, lex
 
 MASTER = re.compile(
     r"""(?P<ws>[ \t\r]+)|(?P<nl>\n)
@@ -34,15 +34,18 @@ class GoParser(Parser):
     def tokenize(self, text: str) -> None:
         self.level = 0  # below 0: a brace opens the body of a control clause
         lex(self, text, MASTER, newline_token=True)
-        kinds, toks, lines = self.kind, self.tok, self.line
-        self.kind, self.tok, self.line, self.view = [], [], [], []
-        for k, t, n in zip(kinds, toks, lines):
-            if k in ("nl", "eof"):
-                if self.kind and (self.kind[-1] in ("num", "str") or self.kind[-1] == "id" and self.tok[-1] not in KEYWORDS or self.tok[-1] in ENDS and self.kind[-1] != "str"):
-                    self.push("op", ";", n)
-                if k == "nl":
+        rows = list(zip(self.kind, self.tok, self.line, self.view))
+        out: list[tuple[str, str, int, str]] = []
+        for row in rows:
+            if row[0] in ("nl", "eof"):
+                if out:
+                    kind, tok = out[-1][:2]
+                    if kind in ("num", "str") or kind == "id" and tok not in KEYWORDS or tok in ENDS and kind != "str":
+                        out.append(("op", ";", row[2], ";"))
+                if row[0] == "nl":
                     continue
-            self.push(k, t, n)
+            out.append(row)
+        self.kind, self.tok, self.line, self.view = map(list, zip(*out))
 
     def ident(self) -> None:
         if self.k != "id" or self.t in KEYWORDS:
@@ -74,15 +77,21 @@ class GoParser(Parser):
     def top(self) -> None:
         self.level = 0
         if self.t == "func":
+            first = self.i
             self.i += 1
             if self.t == "(":
                 self.params()
+            name = self.i
             self.ident()
             if self.t == "[":
                 self.type_params()
+            opening = self.i
             self.signature()
+            body = self.i
             if self.t == "{":
                 self.block()
+            closing = self.matching(opening)
+            self.functions.append(FunctionNode(first, name, opening, closing, body, self.i - 1))
             self.expect(";")
         elif self.t in ("import", "const", "var", "type"):
             self.declaration()

@@ -7,23 +7,25 @@ from __future__ import annotations
 
 import re
 
-from sylvan.llm.syntax.base import Fault, Parser
+from sylvan.llm.syntax.base import Fault, FunctionNode, Parser
 
-TOKEN = re.compile(
-    r"""(?P<id>\#?[^\W\d][\w$]*|\#?\$[\w$]*|\#?[^\W\d]?(?:\\u[\da-fA-F]{4}|\\u\{[\da-fA-F]+\})[\w$]*)
+_TOKEN = r"""(?:(?P<id>\#?[^\W\d][\w$]*|\#?\$[\w$]*|\#?[^\W\d]?(?:\\u[\da-fA-F]{4}|\\u\{[\da-fA-F]+\})[\w$]*)
     |(?P<num>0[xX][\da-fA-F_]+n?|0[bB][01_]+n?|0[oO][0-7_]+n?|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?n?)
     |(?P<str>"(?:\\(?:\r\n|.)|[^"\\\n])*"|'(?:\\(?:\r\n|.)|[^'\\\n])*')
     |(?P<op>>>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|\*\*
-      |[-+*/%&|^~!<>=?:;,.(){}\[\]@])""",
-    re.X | re.S,
-)
-SPACE = re.compile(r"(?:[ \t\r\f\v\xa0\ufeff\n]+|//[^\n]*|/\*.*?\*/)+", re.S)
+      |[-+*/%&|^~!<>=?:;,.(){}\[\]@]))"""
+TOKEN = re.compile(_TOKEN, re.X | re.S)
+#: blanks and comments (read once, never given back), then a token if there is one
+NEXT = re.compile(r"(?P<gap>(?:[ \t\r\f\v\xa0\ufeff\n]++|//[^\n]*+|/\*.*?\*/)*+)" + _TOKEN + "?", re.X | re.S)
+AHEAD = 32  # tokens read at once; those behind a pattern or an element's text are read again
 REGEX = re.compile(r"/(?![*/])(?:\\[^\n]|\[(?:\\[^\n]|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*")
 RESERVED = frozenset(
     "break case catch class const continue debugger default delete do else export extends false finally for function if import in instanceof "
     "new null return super switch this throw true try typeof var void while with enum".split()
 )
 ASSIGN = "= += -= *= /= %= **= <<= >>= >>>= &= |= ^= &&= ||= ??=".split()
+PREFIXES = frozenset("! ~ + - ++ -- typeof void delete await <".split())
+TRAILERS = frozenset((".", "?.", "[", "(", "!", "<", "\0str"))
 MODIFIERS = frozenset("public private protected static readonly abstract override declare async get set accessor".split())
 
 
@@ -44,6 +46,9 @@ class JsParser(Parser):
         self.ends: list[int] = []
         self.after_line: list[bool] = []
         self.no_in = False
+        self.gaps: dict[int, tuple[int, str]] = {}  # blanks with comments by their offset
+        self.reread = 0  # how often tokens were read in another way than ahead
+        self.arrow_at = -1
         self.at = text.find("\n") if text.startswith("#!") and "\n" in text else len(text) if text.startswith("#!") else 0
         self.now = 1
         self.fill()
@@ -60,31 +65,58 @@ class JsParser(Parser):
         self.at = end
 
     def fill(self) -> None:
-        """Reads one more token."""
-        text, start = self.text, self.at
-        m = SPACE.match(text, start)
-        after = False
-        if m:
-            lines = text.count("\n", start, m.end())
-            after = lines > 0
-            self.now += lines
-            start = m.end()
+        """Reads some more tokens."""
+        text, at, now, match = self.text, self.at, self.now, NEXT.match
+        kinds, toks, views, lines, starts, ends, breaks = self.kind, self.tok, self.view, self.line, self.starts_at, self.ends, self.after_line
+        for _ in range(AHEAD):
+            m = match(text, at)
+            start, after = m.end("gap"), False
+            if start > at:
+                if start - at > 1:
+                    gap = m["gap"]
+                    if "/" in gap:
+                        self.gaps[at] = (now, gap)
+                    fresh = gap.count("\n")
+                    if fresh:
+                        now += fresh
+                        after = True
+                elif text[at] == "\n":
+                    now += 1
+                    after = True
+            kind = m.lastgroup
+            if kind == "gap":
+                self.now = now
+                if self.odd(start, after):
+                    return
+                at, now = self.at, self.now
+                continue
+            s = m[kind]
+            kinds.append(kind)
+            toks.append(s)
+            views.append(s if kind != "str" else "\0str")
+            lines.append(now)
+            starts.append(start)
+            ends.append(at := m.end())
+            breaks.append(after)
+            if kind == "str":
+                now += s.count("\n")
+        self.at, self.now = at, now
+
+    def odd(self, start: int, after: bool) -> bool:
+        """Reads what no token pattern covers; true at the end of the text."""
+        text = self.text
         if start >= len(text):
             self.push_at("eof", "", len(text), len(text), after)
-            return
-        m = TOKEN.match(text, start)
-        if m:
-            self.push_at(m.lastgroup, m.group(), start, m.end(), after)
-        elif text[start] == "`":
+            return True
+        if text[start] == "`":
             end = self.template(start)
             if end < 0:
                 self.push_at("bad", "unterminated string", start, len(text), after)
             else:
                 self.push_at("str", text[start:end], start, end, after)
-        elif text.startswith("/*", start):
-            self.push_at("bad", "unterminated comment", start, len(text), after)
         else:
             self.push_at("bad", "unterminated string" if text[start] in "'\"" else f"stray character {text[start]!r}", start, start + 1, after)
+        return False
 
     def template(self, start: int) -> int:
         """End of a template literal, nested ones included; -1 if it has none."""
@@ -121,6 +153,7 @@ class JsParser(Parser):
 
     def cut(self, j: int) -> None:
         """Forgets the tokens from j on; they are read again when asked for."""
+        self.reread += 1
         if j < len(self.tok):
             self.now, self.at = self.line[j], self.starts_at[j]
             if j:
@@ -132,15 +165,19 @@ class JsParser(Parser):
 
     @property
     def t(self) -> str:
-        if self.i >= len(self.view):
+        try:
+            return self.view[self.i]
+        except IndexError:
             self.ensure(self.i)
-        return self.view[min(self.i, len(self.view) - 1)]
+            return self.view[min(self.i, len(self.view) - 1)]
 
     @property
     def k(self) -> str:
-        if self.i >= len(self.kind):
+        try:
+            return self.kind[self.i]
+        except IndexError:
             self.ensure(self.i)
-        return self.kind[min(self.i, len(self.kind) - 1)]
+            return self.kind[min(self.i, len(self.kind) - 1)]
 
     def expect(self, tok: str) -> None:
         if self.t != tok:
@@ -160,12 +197,18 @@ class JsParser(Parser):
         return self.after_line[self.i]
 
     def peek(self, n: int = 1) -> str:
-        self.ensure(self.i + n)
-        return super().peek(n)
+        try:
+            return self.view[self.i + n]
+        except IndexError:
+            self.ensure(self.i + n)
+            return super().peek(n)
 
     def peek_kind(self, n: int = 1) -> str:
-        self.ensure(self.i + n)
-        return super().peek_kind(n)
+        try:
+            return self.kind[self.i + n]
+        except IndexError:
+            self.ensure(self.i + n)
+            return super().peek_kind(n)
 
     def fault(self, wanted: str = "") -> Fault:
         self.ensure(self.i)
@@ -173,9 +216,9 @@ class JsParser(Parser):
         return super().fault(wanted)
 
     def attempt(self, rule, *args):
-        at = self.i
+        at, reread = self.i, self.reread
         found, fault = super().attempt(rule, *args)
-        if fault:
+        if fault and self.reread != reread:
             self.cut(at + 1)
         return found, fault
 
@@ -375,12 +418,16 @@ class JsParser(Parser):
 
     def bindings(self, loop: bool = False) -> None:
         while True:
+            name = self.i
             self.binding()
             if self.ts:
                 self.accept("!")
             self.annotation()
             if self.accept("="):
+                at = self.i
                 self.assignment()
+                if self.arrow_at == at:
+                    self.functions.append(FunctionNode(name, name, *self.bracket_of_arrow, self.i - 1))
             if not self.accept(","):
                 return
 
@@ -534,17 +581,25 @@ class JsParser(Parser):
 
     # -- functions and classes --------------------------------------------
     def function(self, named: bool = False) -> None:
+        first = self.i
         self.accept("async")
         self.expect("function")
         self.accept("*")
+        name = self.i
         if self.t != "(" and self.t != "<":
             self.ident()
         elif named:
             raise self.fault("a name")
         self.signature()
+        bracket, body = self.bracket, self.i
         if self.ts and self.t != "{":
-            return self.semicolon()
-        return self.block()
+            self.semicolon()
+        else:
+            self.block()
+        if self.kind[name] == "id":
+            self.functions.append(FunctionNode(first, name, *bracket, body, self.i - 1))
+        else:
+            self.arrow_at, self.bracket_of_arrow = first, (*bracket, body)
 
     def signature(self) -> None:
         self.type_params()
@@ -554,6 +609,7 @@ class JsParser(Parser):
 
     def params(self) -> None:
         no_in, self.no_in = self.no_in, False
+        opening = self.i
         self.expect("(")
         while self.t != ")":
             if self.t == "@":
@@ -574,6 +630,7 @@ class JsParser(Parser):
             if not self.accept(","):
                 break
         self.expect(")")
+        self.bracket = (opening, self.i - 1)
         self.no_in = no_in
 
     def annotation(self) -> None:
@@ -607,6 +664,7 @@ class JsParser(Parser):
             return
         if self.t == "@":
             self.decorators()
+        first = self.i
         if self.t == "static" and self.peek() == "{":
             self.i += 1
             return self.block()
@@ -621,19 +679,27 @@ class JsParser(Parser):
             _, fault = self.attempt(self.index_signature)
             if fault is None:
                 return self.semicolon()
+        name = self.i
         self.property_name()
         if self.ts:
             self.accept("?") or self.accept("!")
         if self.t in ("(", "<"):
             self.signature()
+            bracket, body = self.bracket, self.i
             if self.t == "{":
-                return self.block()
-            if self.ts:
-                return self.semicolon()
-            raise self.fault("'{'")
+                self.block()
+            elif self.ts:
+                self.semicolon()
+            else:
+                raise self.fault("'{'")
+            self.functions.append(FunctionNode(first, name, *bracket, body, self.i - 1))
+            return
         self.annotation()
         if self.accept("="):
+            at = self.i
             self.assignment()
+            if self.arrow_at == at:
+                self.functions.append(FunctionNode(first, name, *self.bracket_of_arrow, self.i - 1))
         return self.semicolon()
 
     def index_signature(self) -> None:
@@ -852,13 +918,17 @@ class JsParser(Parser):
             self.assignment()
 
     def arrow(self) -> None:
+        first = self.i
         self.accept("async")
         if self.k == "id" and self.peek() == "=>":
+            bracket = (self.i - 1, self.i + 1)  # the one parameter stands bare
             self.ident()
         else:
             self.signature()
+            bracket = self.bracket
         if self.fresh:
             raise self.fault()
+        body = self.i
         self.expect("=>")
         try:
             if self.t == "{":
@@ -868,6 +938,7 @@ class JsParser(Parser):
         except Fault as fault:
             fault.sure = True  # the arrow was there, so nothing else can be meant
             raise
+        self.arrow_at, self.bracket_of_arrow = first, (*bracket, body)
 
     def operator(self) -> str:
         t = self.t
@@ -881,9 +952,12 @@ class JsParser(Parser):
 
     def binary(self, least: int = 0) -> None:
         self.unary()
+        rules = self.BINARY
         while True:
+            if self.t not in rules:
+                return
             op = self.operator()
-            rule = self.BINARY.get(op)
+            rule = rules.get(op)
             if rule is None or rule[0] < least:
                 return
             self.i += 1
@@ -894,7 +968,10 @@ class JsParser(Parser):
 
     def unary(self) -> None:
         while True:
-            t, k = self.t, self.k
+            t = self.t
+            if t not in PREFIXES:
+                break
+            k = self.k
             if k == "op" and t in ("!", "~", "+", "-", "++", "--") or k == "id" and t in ("typeof", "void", "delete"):
                 self.i += 1
             elif t == "await" and k == "id" and (self.peek_kind() in ("id", "num", "str") or self.peek() in ("(", "[", "{", "`")):
@@ -919,7 +996,8 @@ class JsParser(Parser):
                 self.new_target()
         else:
             self.primary()
-        self.trailers(True)
+        if self.t in TRAILERS:
+            self.trailers(True)
 
     def new_target(self) -> None:
         if self.t == "new":
@@ -936,6 +1014,8 @@ class JsParser(Parser):
     def trailers(self, calls: bool) -> None:
         while True:
             t = self.t
+            if t not in TRAILERS:
+                return
             if t == ".":
                 self.i += 1
                 if self.k != "id":
@@ -998,7 +1078,9 @@ class JsParser(Parser):
 
     def primary(self) -> None:
         t, k = self.t, self.k
-        if k in ("num", "str"):
+        if k == "id" and t not in RESERVED and t != "async" and t != "import":
+            self.i += 1
+        elif k in ("num", "str"):
             if k == "num" and self.peek_kind() in ("id", "num") and self.starts_at[self.i + 1] == self.ends[self.i]:
                 self.i += 1
                 raise self.fault()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from sylvan.llm.syntax.base import Fault, Parser
+from sylvan.llm.syntax.base import Fault, FunctionNode, Parser
 
 MASTER = re.compile(
     r"""(?P<ws>[ \t\f]+|\\\r?\n)|(?P<comment>\#[^\n]*)|(?P<nl>\r?\n|\r)
@@ -15,6 +15,8 @@ MASTER = re.compile(
     |(?P<op>\*\*=|//=|>>=|<<=|\.\.\.|!=|->|:=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|@=|==|<=|>=|<<|>>|\*\*|//|[-+*/%@&|^~<>()\[\]{},:.;=!])""",
     re.X | re.S,
 )
+LEAD = re.compile(r"[ \t\f]*")
+REST = re.compile(r"(?:#[^\n]*)?(?:\r?\n|\r)?")
 KEYWORDS = frozenset(
     "False None True and as assert async await break class continue def del elif else except finally for from global if import in is "
     "lambda nonlocal not or pass raise return try while with yield".split()
@@ -73,13 +75,16 @@ class PythonParser(Parser):
             text = text[1:]
         line, pos, n = 1, 0, len(text)
         indents, brackets, fresh = [(0, 0)], [], True
-        push = self.push
+        push, match = self.push, MASTER.match
+        kinds, toks, lines, views = self.kind, self.tok, self.line, self.view
         while pos < n:
             if fresh and not brackets:
-                m = re.compile(r"[ \t\f]*").match(text, pos)
+                m = LEAD.match(text, pos)
                 lead, at = m.group(), m.end()
                 if at >= n or text[at] in "#\r\n":
-                    m2 = re.compile(r"(?:#[^\n]*)?(?:\r?\n|\r)?").match(text, at)
+                    m2 = REST.match(text, at)
+                    if at < n and text[at] == "#":
+                        self.comments.append((line, m2.group().rstrip("\r\n")))
                     line += m2.group().count("\n") or m2.group().count("\r")
                     pos = m2.end() if m2.end() > pos else n
                     continue
@@ -98,19 +103,29 @@ class PythonParser(Parser):
                         break
                 pos, fresh = at, False
                 continue
-            m = FORMATTED.match(text, pos)
+            m = FORMATTED.match(text, pos) if text[pos] in "rRfFtT" else None
             if m:
                 end = formatted_end(text, m.end(), m[2], "r" in m[1].lower())
                 push("str" if end > 0 else "bad", text[pos:end] if end > 0 else "unterminated string", line)
                 line += text.count("\n", pos, end if end > 0 else n)
                 pos = end if end > 0 else n
                 continue
-            m = MASTER.match(text, pos)
+            m = match(text, pos)
             if m is None:
                 push("bad", f"stray character {text[pos]!r}", line)
                 pos += 1
                 continue
             kind, s = m.lastgroup, m.group()
+            if kind == "id":
+                kinds.append(kind)
+                toks.append(s)
+                lines.append(line)
+                views.append(s)
+                pos = m.end()
+                continue
+            if kind == "ws" and s[0] != "\\":
+                pos = m.end()
+                continue
             if kind == "nl":
                 if not brackets:
                     push("nl", "\n", line)
@@ -254,15 +269,26 @@ class PythonParser(Parser):
                 self.with_items(False)
             self.suite()
         elif t == "def":
+            first = self.i - (self.i > 0 and self.tok[self.i - 1] == "async")
             self.i += 1
+            name = self.i
             self.ident()
             self.type_params()
+            opening = self.i
             self.expect("(")
             self.params(")", True)
+            closing = self.i
             self.expect(")")
             if self.accept("->"):
                 self.star_list()
+            body = self.i
             self.suite()
+            inside = body + 1 + 2 * (self.kind[body + 1] == "nl")
+            last = self.i - 1
+            while self.kind[last] in ("nl", "indent", "dedent"):
+                last -= 1
+            doc = inside if self.kind[inside] == "str" and self.kind[inside + 1] == "nl" else -1
+            self.functions.append(FunctionNode(first, name, opening, closing, body, last, doc))
         elif t == "class":
             self.i += 1
             self.ident()

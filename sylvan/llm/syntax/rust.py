@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from sylvan.llm.syntax.base import Parser
+from sylvan.llm.syntax.base import FunctionNode, Parser
 
 MASTER = re.compile(
     r"""(?P<ws>[ \t\r]+)|(?P<nl>\n)|(?P<comment>//[^\n]*)
@@ -35,8 +35,9 @@ class RustParser(Parser):
         line, pos, n = 1, 0, len(text)
         if text.startswith("#!") and not text.startswith("#!["):
             pos = text.find("\n") if "\n" in text else n
+        kinds, toks, lines, views, match = self.kind, self.tok, self.line, self.view, MASTER.match
         while pos < n:
-            if text.startswith("/*", pos):  # nested comments
+            if text[pos] == "/" and text.startswith("/*", pos):  # nested comments
                 depth, at = 0, pos
                 for m in re.finditer(r"/\*|\*/", text[pos:]):
                     depth += 1 if m.group() == "/*" else -1
@@ -46,21 +47,30 @@ class RustParser(Parser):
                 if depth:
                     self.push("bad", "unterminated comment", line)
                     break
+                self.comments.append((line, text[pos:at]))
                 line += text.count("\n", pos, at)
                 pos = at
                 continue
-            m = MASTER.match(text, pos)
+            m = match(text, pos)
             if m is None:
                 self.push("bad", f"stray character {text[pos]!r}", line)
                 pos += 1
                 continue
             kind, s = m.lastgroup, m.group()
+            pos = m.end()
+            if kind in ("id", "op", "num", "life"):
+                kinds.append(kind)
+                toks.append(s)
+                lines.append(line)
+                views.append(s)
+                continue
             if kind == "bad_str":
                 self.push("bad", "unterminated string", line)
-            elif kind not in ("ws", "nl", "comment"):
+            elif kind == "comment":
+                self.comments.append((line, s))
+            elif kind not in ("ws", "nl"):
                 self.push(kind, s, line)
             line += s.count("\n")
-            pos = m.end()
         self.push("eof", "", line)
 
     def ident(self) -> None:
@@ -253,9 +263,12 @@ class RustParser(Parser):
             self.ident()
 
     def function(self) -> None:
+        first = self.i
         self.expect("fn")
+        name = self.i
         self.ident()
         self.generics()
+        opening = self.i
         self.expect("(")
         while self.t != ")":
             self.attributes()
@@ -274,12 +287,15 @@ class RustParser(Parser):
                     self.type()
             if not self.accept(","):
                 break
+        closing = self.i
         self.expect(")")
         if self.accept("->"):
             self.type()
         self.where()
+        body = self.i
         if not self.accept(";"):
             self.block()
+        self.functions.append(FunctionNode(first, name, opening, closing, body, self.i - 1))
 
     def generics(self) -> None:
         if not self.accept("<"):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from sylvan.llm.syntax.base import Fault, Parser
+from sylvan.llm.syntax.base import Fault, FunctionNode, Parser
 
 WORD_END = frozenset(" \t\r\n;&|<>()")
 OPERATORS = re.compile(r"&>>|&>|<<<|<<-|<<|>>|>\||<>|<&|>&|;;&|;;|;&|&&|\|\||\|&|[;&|<>()]")
@@ -28,7 +28,9 @@ class ShellParser(Parser):
                 line += 1
             elif c == "#":
                 end = text.find("\n", pos)
-                pos = n if end < 0 else end
+                end = n if end < 0 else end
+                self.comments.append((line, text[pos:end]))
+                pos = end
             elif c == "\n":
                 self.push("nl", "\n", line)
                 pos += 1
@@ -307,10 +309,14 @@ class ShellParser(Parser):
             elif t == "function":
                 self.i += 1
                 self.take_word()
+                opening = self.i
                 if self.accept("("):
                     self.expect(")")
+                closing = self.i - 1
                 self.lines()
+                body = self.i
                 self.command()
+                self.functions.append(FunctionNode(opening - 2, opening - 1, opening, closing, body, self.i - 1))
                 return
             else:
                 raise self.fault("a command")
@@ -324,13 +330,17 @@ class ShellParser(Parser):
             self.expect(")")
             return self.redirections()
         if k == "id" and self.peek() == "(" :
+            first = self.i
             self.i += 1
             self.expect("(")
             self.expect(")")
             self.lines()
             if not (self.t in ("{", "(", "((") or self.k == "id" and self.t in RESERVED):
                 raise self.fault("a body")
-            return self.command()
+            body = self.i
+            self.command()
+            self.functions.append(FunctionNode(first, first, first + 1, first + 2, body, self.i - 1))
+            return None
         had = False
         while True:
             if self.k in ("id", "word"):
