@@ -103,6 +103,7 @@ FILLER = frozenset(
     does do did performs perform implements implementation returns return returned yields value values result results output input parameter
     parameters param params argument arguments arg args name named type types typed object instance class struct self cls none null void
     die der das ein eine funktion methode für la le les un une fonction méthode de du des el los las una función método
+    get gets set sets or den dem des gibt zurück liefert setzt renvoie retourne devuelve возвращает
     def fn func pub async export static const int let var""".split()
 )
 CONNECTIVES = frozenset(
@@ -151,8 +152,12 @@ PLACEHOLDER = re.compile(
     re.I,
 )
 LEGAL = re.compile(
-    r"copyright|©|\(c\) (?:19|20)\d\d|all rights reserved|licen[sc]ed (?:under|to)|licen[sc]e (?:agreement|terms|text|file)|see (?:the )?licen[sc]e|spdx-|warrant(?:y|ies)|conditions of any kind|as[- ]is\b.*\bbasis|"
-    r"\bthis notice\b|redistribut|permission is hereby|general public licen[sc]e|(?:mit|apache|bsd|mozilla) licen[sc]e|patent|alle rechte vorbehalten|tous droits réservés|todos los derechos reservados|все права защищены",
+    r"^\W*(?:copyright\b|©|\(c\) (?:19|20)\d\d)|\ball rights reserved|\bspdx-|\blicen[sc]ed (?:under|to you under)\b|\bunder the terms (?:and conditions )?of\b.*\blicen[sc]e|"
+    r"\bsee (?:the )?(?:accompanying |file )?(?:licen[sc]e|copying)\b(?: file| for| in|\W*$)|\b(?:the|gnu|general public|mit|apache|bsd|mozilla)[\w ]{0,20} licen[sc]e(?:,? (?:version|v)\W?\d|\W*$)|"
+    r"\bwithout (?:any )?(?:express or implied |implied )?(?:warrant(?:y|ies)|conditions of any kind)|\bno warrant(?:y|ies)\b|\bdisclaims? (?:all|any)\b|\bconditions of any kind\b|"
+    r"\b(?:provided|handed out|distributed|supplied|delivered|offered)\b.{0,40}\bas[- ](?:it[- ])?is\b|\bas[- ]is\b.*\bbasis|\bthis notice (?:stays|remains|must|shall|is kept|and)\b|"
+    r"\bredistribution(?:s)? (?:and use|of source|in binary)|\bpermission is hereby\b|\bpatent (?:licen[sc]e|grant|rights?) (?:is|are|as)\b|"
+    r"alle rechte vorbehalten|tous droits réservés|todos los derechos reservados|все права защищены",
     re.I,
 )
 MARKER = re.compile(r"^\s*(?:/\*\*?!?|\*/|\*(?!\*)|///?!?|##?!?(?=\s|$|\W|\w)|--+\||--(?=\s|$)|;+(?=\s|$)|%+(?=\s|$)|\"\"\"|'''|<!--|\(\*)+[ \t]?")
@@ -267,11 +272,20 @@ def says_something(statement: Statement, known: set[str], bare: str = "") -> boo
     return False
 
 
-def describe(docstring: str | None, name: str | None, signature: str | None, language: str | None) -> tuple[Function | None, str | None]:
-    """The parsed signature and the statements that say something, joined; None where there are none."""
+def from_tree(name: str, params: list[str], returns: str, head: str, language: str) -> Function:
+    """The function of a syntax tree in the form signatures are read into."""
+    return Function(name, [parse_param(p, language) for p in params], returns.strip(" :{"), head)
+
+
+def describe(
+    docstring: str | None, name: str | None, signature: str | None, language: str | None, tree: Function | None = None
+) -> tuple[Function | None, str | None]:
+    """The function and the statements that say something, joined; None where there are none.
+
+    ``tree`` is the function as the syntax tree of its file has it; without one the signature is parsed."""
     if signature is None or not signature.strip():
         return None, None
-    function = parse_signature(signature, name or "", language or "")
+    function = tree or parse_signature(signature, name or "", language or "")
     if docstring is None or not docstring.strip():
         return function, None
     known = function.words()

@@ -7,6 +7,7 @@ import sys
 from sylvan.llm.syntax.base import MERGE, Parser
 from sylvan.llm.syntax.brackets import too_deep_faults
 from sylvan.llm.syntax.clike import CParser, CppParser, EsqlParser
+from sylvan.llm.syntax.functions import FunctionSource, function_sources
 from sylvan.llm.syntax.go import GoParser
 from sylvan.llm.syntax.javascript import JsParser, JsxParser, TsParser, TsxParser
 from sylvan.llm.syntax.python import PythonParser
@@ -56,6 +57,21 @@ def cause(text: str, errors: list[tuple[int, str]]) -> str:
     return "stray text" if message.startswith("stray") else "unexpected token"
 
 
+def functions_of(text: str | None, language: str | None) -> list[FunctionSource]:
+    """The function nodes of a text; none where the language is unknown or the text nests deeper than the parser follows."""
+    parser = LANGUAGES.get(language or "")
+    if parser is None or not text or not text.strip():
+        return []
+    if sys.getrecursionlimit() < DEPTH:
+        sys.setrecursionlimit(DEPTH)
+    try:
+        found = parser(text)
+        found.parse()
+    except RecursionError:
+        return []
+    return function_sources(found, text)
+
+
 def check_source(text: str | None, language: str | None) -> tuple[bool, str | None, list[tuple[int, str]]]:
     """(accepted, first cause, all errors). Null text, empty text and unknown languages are accepted;
     a text nested deeper than the parser follows is judged by the errors up to there, its brackets, strings and end."""

@@ -61,4 +61,49 @@ def test_operator_takes_current_rows_and_cuts_code(spark, nodes_df):
     got = {r["node_id"]: r for r in code_description_pairs(nodes, contents).collect()}
     assert set(got) == {"a", "c"}
     assert got["a"]["code"] == "two\nthree" and got["c"]["code"] == "def g():" and got["a"]["description"] == doc
-    assert documented_functions(nodes_df([])).count() == 0
+    assert documented_functions(nodes_df([]), contents).count() == 0 and documented_functions(nodes, contents.limit(0)).count() == 2
+
+
+@pytest.mark.parametrize(
+    "doc",
+    ["Computes the license fee for a patent holder.", "Licensed content is copied to the shared cache before patent lookup.", "Checks the warranties of a contract for gaps.", "Redistributes the load over all shards."],
+)
+def test_statements_about_licences_are_statements(doc):
+    assert describe(doc, "merge_queue", SIG, "python")[1]
+
+
+@pytest.mark.parametrize("doc,name", [("Gibt den Wert zurück.", "get_wert"), ("Gets or sets the given value for this object.", "value"), ("Licensed under the MIT license.", "f"), ("This program is distributed without any warranty.", "f")])
+def test_echoes_and_notices(doc, name):
+    assert describe(doc, name, f"def {name}(self):", "python")[1] is None
+
+
+SOURCES = [
+    ("python", '@deco\ndef load(a: int, *rest) -> str:\n    """Reads it."""\n    def inner():\n        pass\n    return a\n', [("load", 2, 6, ["a : int", "* rest"], '"""Reads it."""'), ("inner", 4, 5, [], None)]),
+    ("python", "# far\n\n# near\n# by\n@deco\nasync def go(x): return x\n", [("go", 6, 6, ["x"], "# near\n# by")]),
+    ("c", "/* head */\nint a;\n/** Adds.\n * Two.\n */\nstatic int add(int a, int b)\n{\n  return a + b;\n}\n", [("add", 6, 9, ["int a", "int b"], "/** Adds.\n * Two.\n */")]),
+    ("cpp", "class A {\n public:\n  // Runs.\n  int run(std::map<int, int> m) { return 1; }\n};\n", [("run", 4, 4, ["std :: map < int , int > m"], "// Runs.")]),
+    ("go", "package p\n\n// Take takes.\nfunc (r *Ring) Take(n int, s []string) (int, error) {\n\treturn n, nil\n}\n", [("Take", 4, 6, ["n int", "s [ ] string"], "// Take takes.")]),
+    ("rust", "/// Doc.\n#[inline]\npub fn f(a: i64) -> i64 {\n    a\n}\n", [("f", 3, 5, ["a : i64"], "/// Doc.")]),
+    ("typescript", "// One.\nexport function f(a: number): number {\n  return a;\n}\nclass C {\n  /* Two. */\n  m(b?: string) { return /x/.test(b); }\n}\n// Three.\nconst g = async (x) => { return x; };\n",
+     [("f", 2, 4, ["a : number"], "// One."), ("m", 7, 7, ["b ? : string"], "/* Two. */"), ("g", 10, 10, ["x"], "// Three.")]),
+    ("shell", "# Starts.\nstart() {\n  echo 1\n}\nfunction stop {\n  echo 2\n}\n", [("start", 2, 4, [], "# Starts."), ("stop", 5, 7, [], None)]),
+]
+
+
+@pytest.mark.parametrize("language,text,want", SOURCES)
+def test_function_nodes(language, text, want):
+    from sylvan.llm.syntax import check_source, functions_of
+
+    assert check_source(text, language)[0]
+    assert [(f.name, f.line, f.end_line, f.params, f.doc) for f in functions_of(text, language)] == want
+
+
+def test_pairs_come_from_the_tree(spark, nodes_df):
+    text = "int x;\n\n// Sorts by arrival time.\nint order(int a) {\n  return a;\n}\n"
+    rows = [
+        {"id": "a", "kind": "function", "name": "order", "signature": "int order(int a)", "docstring": "Sorts by arrival time.", "language": "c", "updated_at": 1, "file_path": "r/a.c", "start_line": 4, "end_line": 5},
+        {"id": "b", "kind": "function", "name": "gone", "signature": "int gone(int a)", "docstring": "Sorts by arrival time.", "language": "c", "updated_at": 1, "file_path": "r/a.c", "start_line": 9, "end_line": 9},
+    ]
+    got = {r["node_id"]: r for r in code_description_pairs(nodes_df(rows), spark.createDataFrame([("r/a.c", text)], "path string, content string")).collect()}
+    assert (got["a"]["range_from"], got["a"]["doc_from"], got["a"]["end_line"]) == ("tree", "tree", 6) and got["a"]["code"] == "int order(int a) {\n  return a;\n}"
+    assert (got["b"]["range_from"], got["b"]["code"]) == ("row", "int gone(int a)")
