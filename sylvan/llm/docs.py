@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 IDENT = re.compile(r"[^\W\d_]\w*|_\w+")
+AFTER_NAME = re.compile(r"\s*(?:<[^()]*>)?\s*\(")
 PIECE = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+|[^\W\d_A-Za-z]+")
 
 
@@ -61,10 +63,12 @@ def parse_param(text: str, language: str) -> tuple[str, str]:
 def parse_signature(signature: str, name: str, language: str) -> Function:
     """Name, parameters, result type and modifiers; without the name the first group of parameters."""
     at = -1
-    for m in re.finditer(re.escape(name) + r"\s*(?:<[^()]*>)?\s*\(", signature) if name else ():
-        at = m.end() - 1
-        head = signature[: m.start()]
-        break
+    start = signature.find(name) if name else -1
+    while start >= 0 and at < 0:
+        m = AFTER_NAME.match(signature, start + len(name))
+        if m:
+            at, head = m.end() - 1, signature[:start]
+        start = signature.find(name, start + 1)
     if at < 0:
         at = signature.find("(")
         head = signature if at < 0 else signature[:at]
@@ -75,6 +79,7 @@ def parse_signature(signature: str, name: str, language: str) -> Function:
     return Function(name, params, signature[end + 1 :].strip(" :{"), head)
 
 
+@lru_cache(maxsize=1 << 16)
 def stem(word: str) -> str:
     """Folds the endings by which a verb or noun of a name is bent in a sentence."""
     w = word.lower()
