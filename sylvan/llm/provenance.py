@@ -5,13 +5,16 @@ the same), and every file is scored with it: names far from the language's usual
 dense layout are mangled, names that differ only in digits come from a template. Style of naming is
 compared with the rest of the repository. Path and head comments decide where a body written by a tool
 or by another project cannot be told from one written by hand.
+
+The texts are read once: that pass gives every file's features and trigrams, and at the end of each split
+what its files add to the models; scores follow from the staged trigrams.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,17 +28,18 @@ MANGLED_SD = 1.0
 #: share of names that stay apart once digits are folded, under which the names of a dense text come from a template
 TEMPLATE_DIVERSITY = 0.85
 NUMBERED_DIVERSITY, NUMBERED_NAMES = 0.5, 20  # outside dense layout: most names are numbered copies of others
-DENSE_LINE = 250
-MEAN_DENSE_LINE = 150
-DATA_SHARE = 0.5
-DATA_CHARS = 2_000
+DENSE_LINE, MEAN_DENSE_LINE, DENSE_BLANKS = 250, 150, 0.15
+WRAPPED_LINE, WRAPPED_BLANKS = 80, 0.1  # mean line and blanks of dense text that was broken into lines
+DATA_SHARE, DATA_CHARS = 0.5, 2_000
+ALL_DATA_SHARE, ALL_DATA_CHARS = 0.9, 500  # a file with hardly anything but literals may be shorter
 LANGUAGES = 12  # the parsers' languages and one for all others: bounds the models
 
-_GRAMS = "language string, gram string, weight bigint"
 _FEATURES = (
-    "path string, language string, path_evidence string, head_evidence string, entropy double, diversity double, literal_share double, literal_chars bigint, "
+    "path string, language string, path_evidence string, head_evidence string, diversity double, literal_share double, literal_chars bigint, "
     "longest int, per_line double, blank_share double, odd_share double, wordy int, n_names int, snake double, camel double"
 )
+#: rows of files carry features, trigrams and their counts; rows of models (null path) the weights a split adds
+_READ = _FEATURES + ", grams array<int>, times array<int>, weights array<bigint>"
 
 
 def _language(name: str | None) -> str:
@@ -46,39 +50,55 @@ def _language(name: str | None) -> str:
     return found if found in known else "other"
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Trigram weights of a split, summed before they leave it."""
-    from sylvan.llm.provenance_features import features, weights
+def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The one pass over the texts: a row per file, and at the end of the split what its files add to the model
+    of each language."""
+    from sylvan.llm.provenance_features import ALPHABET, features, gram_counts, head_comments, head_evidence, naming_style, path_evidence, template_diversity, weights
 
-    sums: dict[tuple[str, str], int] = defaultdict(int)
+    columns = [c.split()[0] for c in _READ.split(", ")]
+    sums: dict[str, np.ndarray] = {}
     for pdf in batches:
-        for language, content in zip(pdf["language"], pdf["content"]):
-            if content:
-                language = _language(language)
-                for g, w in weights(features(content, language)["names"]).items():
-                    sums[language, g] += w
-    yield pd.DataFrame([(a, g, w) for (a, g), w in sums.items()], columns=["language", "gram", "weight"])
+        rows = []
+        for path, language, content in zip(pdf["path"], pdf["language"], pdf["content"]):
+            language, content = _language(language), content or ""
+            f = features(content, language)
+            style = naming_style(f["names"])
+            grams, times = gram_counts(f["names"])
+            if len(grams):
+                sums.setdefault(language, np.zeros(ALPHABET**3, np.int64))[grams] += weights(times)
+            rows.append(
+                (path, language, path_evidence(path), head_evidence(head_comments(content, language)), template_diversity(f["names"]), f["literal_share"], f["literal_chars"],
+                 f["longest"], f["per_line"], f["blank_share"], f["odd_share"], f["wordy"], len(f["names"]), style.get("snake", 0.0), style.get("camel", 0.0), grams, times, None)
+            )
+        yield pd.DataFrame(rows, columns=columns)
+    models = []
+    for language, total in sums.items():
+        used = np.flatnonzero(total)
+        models.append((None, language, *[None] * 13, used.astype(np.int32), None, total[used]))
+    out = pd.DataFrame(models, columns=columns)
+    whole = ["literal_chars", "longest", "wordy", "n_names"]
+    yield out.astype({c: "Int64" for c in whole})
 
 
 def _scorer(shared):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from sylvan.llm.provenance_features import cross_entropy, features, head_comments, head_evidence, naming_style, path_evidence, template_diversity
+    def entropy(grams: pd.Series, times: pd.Series, language: pd.Series) -> pd.Series:
+        from sylvan.llm.provenance_features import cross_entropy
 
         models = shared.value
-        for pdf in batches:
-            rows = []
-            for path, language, content in zip(pdf["path"], pdf["language"], pdf["content"]):
-                language, content = _language(language), content or ""
-                f = features(content, language)
-                style = naming_style(f["names"])
-                rows.append(
-                    (path, language, path_evidence(path), head_evidence(head_comments(content, language)), cross_entropy(f["names"], models.get(language, {})),
-                     template_diversity(f["names"]), f["literal_share"], f["literal_chars"], f["longest"], f["per_line"], f["blank_share"], f["odd_share"], f["wordy"],
-                     len(f["names"]), style.get("snake", 0.0), style.get("camel", 0.0))
-                )
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _FEATURES.split(", ")])
-
-    return run
+        return pd.Series([cross_entropy(g, t, models[name]) if len(g) else None for g, t, name in zip(grams, times, language)], dtype="float64")
+
+    return F.pandas_udf(entropy, "double")
+
+
+def _models(read_rows: DataFrame) -> dict[str, np.ndarray]:
+    """Bits per trigram of each language: at most ``LANGUAGES`` arrays of ``ALPHABET`` cubed numbers, whatever the corpus."""
+    from sylvan.llm.provenance_features import ALPHABET, bits
+
+    added = read_rows.filter(F.col("path").isNull()).select("language", F.explode(F.arrays_zip("grams", "weights")).alias("g"))
+    totals: dict[str, np.ndarray] = {}
+    for r in added.groupBy("language", F.col("g.grams").alias("gram")).agg(F.sum("g.weights").alias("weight")).toLocalIterator():
+        totals.setdefault(r["language"], np.zeros(ALPHABET**3, np.int64))[r["gram"]] = r["weight"]
+    return {language: bits(total) for language, total in totals.items()}
 
 
 def file_provenance(files: DataFrame, contents: DataFrame) -> DataFrame:
@@ -100,18 +120,10 @@ def file_provenance(files: DataFrame, contents: DataFrame) -> DataFrame:
         .select("path", "r.language")
     )
     joined = record.join(one_content(contents, n), "path", "left")
-    counts = joined.select("language", "content").mapInPandas(_count, _GRAMS).groupBy("language", "gram").agg(F.sum("weight").alias("weight"))
-    # at most LANGUAGES * ALPHABET^3 rows, whatever the corpus: the alphabet is folded to 40 characters
-    models: dict[str, dict[str, dict[str, float]]] = defaultdict(lambda: defaultdict(dict))
-    for r in counts.toLocalIterator():
-        models[r["language"]][r["gram"][:2]][r["gram"][2]] = r["weight"]
-    for model in models.values():
-        for row in model.values():
-            size = sum(row.values())
-            for c in row:
-                row[c] /= size
-    shared = spark.sparkContext.broadcast({a: dict(m) for a, m in models.items()})
-    scored = st.put(joined.select("path", "language", "content").mapInPandas(_scorer(shared), _FEATURES), "scores")
+    rows = st.put(joined.select("path", "language", "content").mapInPandas(_read, _READ), "read")
+    score = _scorer(spark.sparkContext.broadcast(_models(rows)))
+    scored = rows.filter(F.col("path").isNotNull()).withColumn("entropy", score("grams", "times", "language")).drop("grams", "times", "weights")
+    scored = st.put(scored, "scores")
     usual = scored.filter("n_names >= 5").groupBy("language").agg(F.avg("entropy").alias("mean"), F.stddev_pop("entropy").alias("sd"))
     scored = scored.withColumn("repository", repository(F.col("path")))
     style = scored.groupBy("repository", "language").agg(F.avg("snake").alias("repo_snake"), F.avg("camel").alias("repo_camel"))
@@ -120,10 +132,12 @@ def file_provenance(files: DataFrame, contents: DataFrame) -> DataFrame:
     scored = scored.withColumn("names_sd", far).withColumn(
         "style_distance", (F.abs(F.col("snake") - F.col("repo_snake")) + F.abs(F.col("camel") - F.col("repo_camel"))) / 2
     )
-    dense = (F.col("longest") >= DENSE_LINE) & (F.col("per_line") >= MEAN_DENSE_LINE) & (F.col("blank_share") < 0.15)
+    dense = (F.col("longest") >= DENSE_LINE) & (F.col("per_line") >= MEAN_DENSE_LINE) & (F.col("blank_share") < DENSE_BLANKS)
+    dense = dense | (F.col("per_line") >= WRAPPED_LINE) & (F.col("blank_share") < WRAPPED_BLANKS)
     code = (F.col("odd_share") < 0.005) & (F.col("wordy") >= 3)
     mangled = dense & code & ((F.col("names_sd") >= MANGLED_SD) | (F.col("diversity") < TEMPLATE_DIVERSITY))
     mainly_data = (F.col("literal_share") >= DATA_SHARE) & (F.col("literal_chars") >= DATA_CHARS)
+    mainly_data = mainly_data | (F.col("literal_share") >= ALL_DATA_SHARE) & (F.col("literal_chars") >= ALL_DATA_CHARS)
     numbered = ~dense & (F.col("diversity") < NUMBERED_DIVERSITY) & (F.col("n_names") >= NUMBERED_NAMES)
     verdict = (
         F.when(F.col("head_evidence") == "copy notice", "vendored")

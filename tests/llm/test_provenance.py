@@ -38,6 +38,43 @@ def test_paths_that_only_sound_like_it(path):
 def test_notices(line, want):
     assert head_evidence(head_comments(f"// x\n// {line}\nint a;\n", "c")) == want
     assert head_evidence(head_comments(f"int a;\n// {line}\n", "c")) == ""
+    assert head_evidence(head_comments(f"package p\n\nimport (\n\t\"fmt\"\n)\n\n// {line}\nfunc f() {{}}\n", "go")) == want
+    assert head_evidence(head_comments(f'"""{line}"""\nimport os\n', "python")) == want
+
+
+@pytest.mark.parametrize("path", ["app/src/pods/list.go", "app/src/code_gen.py", "r/shader_codegen.py", "r/src/externals/a.c"])
+def test_names_hand_written_files_have_too(path):
+    assert path_evidence(path) == ""
+
+
+def test_a_notice_names_a_tool():
+    assert head_evidence(["This code is generated with love by our team"]) == "" and head_evidence(["This code is generated with protoc 3"]) == "tool notice"
+
+
+def test_trigrams_and_cross_entropy_equal_a_plain_count():
+    import math
+    from collections import Counter
+
+    import numpy as np
+
+    from sylvan.llm.provenance_features import ALPHABET, bits, cross_entropy, gram_counts
+
+    names = ["loadQueue", "a", "Über_9", "load_queue"]
+    plain = Counter()
+    for n in names:
+        low = "".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789_" else "?" for c in n.lower())
+        text = "^^" + low + "$"
+        plain.update(text[i : i + 3] for i in range(len(text) - 2))
+    grams, times = gram_counts(names)
+    assert sorted(times.tolist()) == sorted(plain.values()) and times.sum() == sum(plain.values())
+    total = np.zeros(ALPHABET**3, np.int64)
+    total[grams] = times
+    rows = Counter()
+    for g, c in plain.items():
+        rows[g[:2]] += c
+    want = -sum(c * math.log2(0.9 * c / rows[g[:2]] + 0.1 / ALPHABET) for g, c in plain.items()) / sum(plain.values())
+    assert abs(cross_entropy(grams, times, bits(total)) - want) < 1e-12
+    assert cross_entropy(*gram_counts([]), bits(total)) is None
 
 
 def hand(i):
@@ -59,6 +96,8 @@ def test_operator(spark):
     small = ";".join(f"function {rng.choice('abcxyz')}{rng.randrange(9999)}(e){{for(var r=0;r<e;r++)t.{rng.choice('qwz')}{rng.randrange(999)}(r);return e}}" for _ in range(80))
     put("r/web/app.js", "!function(t){" + small + "}({});", "JavaScript")
     put("r/src/table.py", "rows = [\n" + "\n".join("    " + ", ".join(str(rng.randrange(999)) for _ in range(20)) + "," for _ in range(80)) + "\n]\n")
+    put("r/src/blob.py", "BLOB = (\n" + "\n".join(f'    "{rng.getrandbits(280):070x}"' for _ in range(12)) + "\n)\n")
+    put("r/web/wrapped.js", "!function(t){" + "\n".join(small[i : i + 120] for i in range(0, len(small), 120)) + "}({});", "js")
     put("r/src/short.py", "rows = [1, 2, 3]\n" + hand(1))
     put("r/vendor/lib/a.py", None)
     put("r/src/gone.py", None)
@@ -69,7 +108,7 @@ def test_operator(spark):
     f = spark.createDataFrame(files, FILES).withColumn("verdict", F.lit(1)).withColumn("repository", F.lit("q"))
     c = spark.createDataFrame(contents + [(None, "x")], "path string, content string")
     got = {r["path"]: r["verdict"] for r in file_provenance(f, c).collect()}
-    assert {p: v for p, v in got.items() if v} == {"r/web/app.js": "minified", "r/src/table.py": "data", "r/vendor/lib/a.py": "vendored", "r/src/tool.py": "generated"}
+    assert {p: v for p, v in got.items() if v} == {"r/web/app.js": "minified", "r/src/table.py": "data", "r/src/blob.py": "data", "r/web/wrapped.js": "minified", "r/vendor/lib/a.py": "vendored", "r/src/tool.py": "generated"}
     assert len(got) == len({p for p, *_ in files if p})
     assert file_provenance(spark.createDataFrame([], FILES), spark.createDataFrame([], "path string, content string")).count() == 0
 
