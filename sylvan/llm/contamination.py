@@ -8,7 +8,6 @@ every stretch that can count, so searching three-word phrases loses nothing.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,49 +27,65 @@ SEED = 3
 SHORTEST = 8
 SHARE = 0.4
 SHARD_WORDS = 400_000
-MAX_ITEMS = 20_000
+MAX_ITEMS, MAX_CHARS = 100_000, 64_000_000  # what one pass over the corpus holds: bounds the broadcast
+#: seeds a pair must have per word of the item: an own word that counts lies in a phrase of three equal words, or is
+#: an exchanged one beside such; 0.4 of the words cannot come together from fewer than 0.07 seeds a word
+SEEDS_PER_WORD = 0.05
 
 FOUND = "doc_id bigint, item_id bigint, share double, spans array<struct<start:int,stop:int>>"
 
 
 @dataclass
 class ItemSet:
-    """Evaluation items as word codes: 1 is a word no item has, item words follow from 2 on."""
+    """Evaluation items as word codes, in flat arrays: 1 is a word no item has, item words follow from 2 on."""
 
     codes: dict[str, int]
-    items: list[tuple[int, list[int]]]
-    counts: list[np.ndarray]  # per item: which of its words belong to no phrase shared by many items
+    ids: list[int]
+    words: np.ndarray  # of all items, one after the other
+    begin: np.ndarray  # where each item begins, and the end
+    own: np.ndarray  # which words belong to no phrase shared by many items
     phrases: np.ndarray
-    places: list[list[tuple[int, int]]]
+    first: np.ndarray  # per phrase: where its places begin, and the end
+    at_item: np.ndarray  # places: item and position in it
+    at_word: np.ndarray
 
 
 def prepare(rows: list[tuple[int, str]], places: list[list[int]] | None = None) -> ItemSet:
     """Places: where in each item shared phrases begin, if that was counted over more items than these."""
     codes: dict[str, int] = {}
     split = [words(t) for _, t in rows]
-    items = [(i, [codes.setdefault(w, len(codes) + 2) for w in ws]) for (i, _), ws in zip(rows, split)]
-    counts = []
-    for ws, at in zip(split, shared_places(split) if places is None else places):
-        own = np.ones(len(ws), bool)
+    sizes = np.array([len(ws) for ws in split], np.int64)
+    begin = np.concatenate(([0], np.cumsum(sizes)))
+    flat = np.fromiter((codes.setdefault(w, len(codes) + 2) for ws in split for w in ws), np.int64, int(begin[-1]))
+    own = np.ones(len(flat), bool)
+    for k, at in enumerate(shared_places(split) if places is None else places):
         for j in at:
-            own[j : j + COMMON_WORDS] = False
-        counts.append(own)
-    where: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
-    for k, (_, ws) in enumerate(items):
-        for j in range(len(ws) - SEED + 1):
-            if counts[k][j : j + SEED].any():
-                where[tuple(ws[j : j + SEED])].append((k, j))
-    phrases = np.array(list(where), np.int64).reshape(-1, SEED)
-    return ItemSet(codes, items, counts, phrases, list(where.values()))
-
-
-def search_shard(found: ItemSet, ids: list[int], texts: list[np.ndarray]) -> list[tuple]:
-    """Pairs of one shard of documents (word codes each)."""
+            own[begin[k] + j : min(begin[k] + j + COMMON_WORDS, begin[k + 1])] = False
+    item = np.repeat(np.arange(len(split)), sizes)
+    word = np.arange(len(flat)) - begin[item]
+    starts = np.flatnonzero(word + SEED <= sizes[item])
+    triples = np.stack([flat[starts + i] for i in range(SEED)], 1) if len(starts) else np.zeros((0, SEED), np.int64)
+    some_own = np.any([own[starts + i] for i in range(SEED)], axis=0) if len(starts) else np.zeros(0, bool)
+    triples, starts = triples[some_own], starts[some_own]
+    phrases, of = np.unique(triples, axis=0, return_inverse=True) if len(triples) else (triples, np.zeros(0, np.int64))
+    order = np.argsort(of.ravel(), kind="stable")
+    first = np.concatenate(([0], np.cumsum(np.bincount(of.ravel(), minlength=len(phrases))))).astype(np.int64)
+    return ItemSet(codes, [i for i, _ in rows], flat, begin, own, phrases, first, item[starts[order]], word[starts[order]])
+
+
+def spread_out(low: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """low[i], low[i] + 1, ... of each range in turn."""
+    ends = np.cumsum(sizes)
+    return np.repeat(low - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def search_shard(found: ItemSet, ids: list[int], texts: list[np.ndarray], occurrences: int = 1 << 22) -> list[tuple]:
+    """Pairs of one shard of documents (word codes each); seeds are laid out ``occurrences`` or so at a time."""
     if not len(found.phrases) or not texts:
         return []
     # Runs of words that no item has are one symbol: no phrase crosses them.
     parts, origin, owner = [], [], []
-    for d, ws in enumerate(texts):
+    for ws in texts:
         keep = np.ones(len(ws), bool)
         keep[1:] = (ws[1:] != 1) | (ws[:-1] != 1)
         at = np.flatnonzero(keep)
@@ -82,40 +97,63 @@ def search_shard(found: ItemSet, ids: list[int], texts: list[np.ndarray]) -> lis
     doc_of = np.repeat(np.arange(len(texts)), owner)
     index = FMIndex(text, len(found.codes) + 2)
     low, high = index.find(found.phrases)
-    sizes = high - low
-    hit = np.flatnonzero(sizes)
+    hit = np.flatnonzero(high > low)
     if not len(hit):
         return []
-    phrase = np.repeat(hit, sizes[hit])
-    rows = np.repeat(low[hit] - np.concatenate(([0], np.cumsum(sizes[hit])[:-1])), sizes[hit]) + np.arange(sizes[hit].sum())
-    at = index.locate(rows)
-    docs, starts = doc_of[at], place[at]
-    seeds: dict[tuple[int, int], dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-    for p, d, s in zip(phrase.tolist(), docs.tolist(), starts.tolist()):
-        for k, j in found.places[p]:
-            seeds[d, k][s - j].append(j)
-    out = []
-    for (d, k), diagonals in seeds.items():
-        item_id, ws = found.items[k]
-        shortest = min(SHORTEST, len(ws))
-        covered = np.zeros(len(ws), bool)
-        spans = []
-        for diagonal, places in diagonals.items():
-            end = -1
-            for j in sorted(places):
-                if j < end:
-                    continue
-                a, b = stretches(ws, texts[d], j, diagonal)
-                end = b
-                if b - a >= shortest:
-                    covered[a:b] = True
-                    spans.append((a + diagonal, b + diagonal))
-        share = float((covered & found.counts[k]).sum()) / len(ws)
-        if share >= SHARE:
-            out.append((ids[d], item_id, share, merge(spans)))
+    phrase = np.repeat(hit, (high - low)[hit])
+    at = index.locate(spread_out(low[hit], (high - low)[hit]))
+    # by document, so that all seeds of a pair are laid out together
+    order = np.argsort(doc_of[at], kind="stable")
+    phrase, docs, starts = phrase[order], doc_of[at][order], place[at][order]
+    many = (found.first[1:] - found.first[:-1])[phrase]
+    total = np.cumsum(many)
+    sizes = found.begin[1:] - found.begin[:-1]
+    edges = np.append(np.flatnonzero(np.diff(docs)) + 1, len(docs))
+    out, a = [], 0
+    while a < len(docs):
+        reach = np.searchsorted(total, (total[a - 1] if a else 0) + occurrences)
+        b = int(edges[min(np.searchsorted(edges, reach + 1), len(edges) - 1)])
+        where = spread_out(found.first[phrase[a:b]], many[a:b])
+        item, word = found.at_item[where], found.at_word[where]
+        doc, shift = np.repeat(docs[a:b], many[a:b]), np.repeat(starts[a:b], many[a:b]) - word
+        pair = doc * len(sizes) + item
+        # different positions of the item that are hit, per pair
+        longest = int(sizes.max()) + 1
+        hits = np.unique(pair * longest + word)
+        pairs, counts = np.unique(hits // longest, return_counts=True)
+        likely = pairs[counts >= SEEDS_PER_WORD * sizes[pairs % len(sizes)]]
+        chosen = np.isin(pair, likely)
+        order = np.lexsort((word[chosen], shift[chosen], pair[chosen]))
+        rows = np.stack((pair[chosen][order], shift[chosen][order], word[chosen][order]), 1)
+        for group in np.split(rows, np.flatnonzero(np.diff(rows[:, 0])) + 1) if len(rows) else ():
+            d, k = divmod(int(group[0, 0]), len(sizes))
+            got = grow(found, k, texts[d], group[:, 1:].tolist())
+            if got:
+                out.append((ids[d], found.ids[k], *got))
+        a = b
     return out
 
 
+def grow(found: ItemSet, k: int, text: np.ndarray, seeds: list[list[int]]) -> tuple[float, list[dict[str, int]]] | None:
+    """Share and spans of item ``k`` in a document, from its seeds (shift, position) in order; None below ``SHARE``."""
+    begin, end = int(found.begin[k]), int(found.begin[k + 1])
+    ws, own = found.words[begin:end].tolist(), found.own[begin:end]
+    shortest = min(SHORTEST, len(ws))
+    covered = np.zeros(len(ws), bool)
+    spans, diagonal, stop = [], None, -1
+    for shift, j in seeds:
+        if shift != diagonal:
+            diagonal, stop = shift, -1
+        if j < stop:
+            continue
+        a, stop = stretches(ws, text, j, shift)
+        if stop - a >= shortest:
+            covered[a:stop] = True
+            spans.append((a + shift, stop + shift))
+    share = float((covered & own).sum()) / len(ws)
+    return (share, merge(spans)) if share >= SHARE else None
+
+
 def merge(spans: list[tuple[int, int]]) -> list[dict[str, int]]:
     """Overlapping or touching spans as one."""
     out: list[list[int]] = []
@@ -164,12 +202,15 @@ def leaked_items(documents: DataFrame, items: DataFrame, *, shard_words: int = S
     item). Layout, case, punctuation, markup, encoding, order of stretches and single exchanged words do not
     matter; words in phrases that three or more different items share are not counted (equal and nearly equal texts are
     one item there, see ``shared_phrases``). Null ids and texts take no part, items
-    under three words never match, repeated rows give a pair once, empty tables give no rows, other columns are
-    ignored. Items are sent to the corpus in blocks of at most ``max_items``, each a pass over the corpus.
+    under three words never match (in scripts written without blanks each letter is a word), repeated rows give
+    a pair once, empty tables give no rows, other columns are ignored. Items are sent to the corpus in blocks of
+    about ``max_items`` and ``MAX_CHARS`` characters; each block is a pass over the corpus that indexes every shard
+    once, and what is shared among items is counted over all of them, so that blocks change no result.
     """
     spark = documents.sparkSession
     items = items.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text").distinct()
-    blocks = max(1, -(-items.count() // max_items))
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    blocks = max(1, -(-size["n"] // max_items), -(-size["chars"] // MAX_CHARS))
     if blocks > 1:  # what is shared is counted over all items, not over those of one block
         items = Staging(spark, "items").put(with_shared_places(items), "places")
     docs = spread(documents.select("doc_id", "text")).filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())

@@ -11,26 +11,34 @@ import numpy as np
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Suffix order by prefix doubling; only suffixes not yet told apart are sorted again."""
+    """Suffix order by prefix doubling, from three symbols on; only suffixes not yet told apart are sorted again."""
     n = len(text)
-    _, rank = np.unique(text, return_inverse=True)
-    rank = rank.astype(np.int64)
-    step = 1
-    order = np.argsort(rank, kind="stable")
+    if not n:
+        return np.zeros(0, np.int64)
+    padded = np.concatenate((text + 1, [0, 0])).astype(np.int64)
+    base = int(padded.max()) + 1
+    key = (padded[:n] * base + padded[1 : n + 1]) * base + padded[2:]
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    new = np.concatenate(([True], key[1:] != key[:-1]))
+    start = np.maximum.accumulate(np.where(new, np.arange(n), 0))  # per place in the order: where its group begins
+    rank = np.empty(n, np.int64)
+    rank[order] = start
+    step = 3
     while True:
-        second = np.zeros(n, np.int64)
-        second[: n - step] = rank[step:] + 1 if step < n else 0
-        key = rank * (n + 1) + second
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        new = np.empty(n, np.int64)
-        new[order] = np.concatenate(([0], np.cumsum(ordered[1:] != ordered[:-1])))
-        rank = new
-        if n == 0 or rank[order[-1]] == n - 1:
+        at = np.flatnonzero(~new | ~np.append(new[1:], True))
+        if not len(at):
             return order
+        rows, group = order[at], start[at]
+        ahead = rows + step
+        second = np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
+        again = np.lexsort((second, group))
+        rows, second = rows[again], second[again]
+        apart = np.concatenate(([True], (group[1:] != group[:-1]) | (second[1:] != second[:-1])))
+        order[at], new[at] = rows, apart
+        start[at] = np.maximum.accumulate(np.where(apart, at, 0))
+        rank[rows] = start[at]
         step *= 2
-        if step >= 2 * n:
-            return order
 
 
 class WaveletMatrix:

@@ -8,11 +8,31 @@ import unicodedata
 
 from sylvan.llm.lookalike import TO_LATIN, plain_form
 
-TAG = re.compile(r"</?[A-Za-z][^<>]{0,300}>")
+#: a tag with its attributes, however long, or what is short enough to be one
+TAG = re.compile(
+    r"""</?[A-Za-z][\w:.-]*+(?:\s++[\w:@.-]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'<>=`]++))?)*+\s*+/?>|</?[A-Za-z][^<>]{0,300}>"""
+)
 BREAK = re.compile(r"(?<=[^\W\d_])-[ \t]*\r?\n[ \t]*(?=[^\W\d_])")
 ESCAPE = re.compile(r"\\(?:u([0-9a-fA-F]{4})|([nrt])(?![a-z]{0,2}\\)|([^\w\s]|_))")
-WORD = re.compile(r"\w+")
-_FOLD = str.maketrans(TO_LATIN)
+WORD = re.compile(r"[^\W_](?:\w*[^\W_])?")
+#: letters of scripts written without blanks between words: each is a word
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+FOLDED = re.compile(f"[{''.join(TO_LATIN)}]")
+
+
+def _marks() -> re.Pattern:
+    """All characters that combine with the one before, as ranges."""
+    runs: list[list[int]] = []
+    for c in range(0x300, 0x20000):
+        if unicodedata.combining(chr(c)):
+            if runs and runs[-1][1] == c - 1:
+                runs[-1][1] = c
+            else:
+                runs.append([c, c])
+    return re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in runs) + "]+")
+
+
+MARKS = _marks()
 
 
 def _unescape(m: re.Match) -> str:
@@ -32,9 +52,10 @@ def words(text: str) -> list[str]:
     if "-\n" in text or "- \n" in text or "-\r" in text:
         text = BREAK.sub("", text)
     if not text.isascii():
-        text = plain_form(text).translate(_FOLD)
-        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
-    return [w for w in (w.strip("_") for w in WORD.findall(text.lower())) if w]
+        text = FOLDED.sub(lambda m: TO_LATIN[m[0]], plain_form(text))
+        text = MARKS.sub("", unicodedata.normalize("NFKD", text))
+        text = UNSPACED.sub(r" \g<0> ", text)
+    return WORD.findall(text.lower())
 
 
 def stretches(item: list[int], doc, at: int, diagonal: int) -> tuple[int, int]:

@@ -83,3 +83,28 @@ def test_whole_operator(spark):
         assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {(1, 11), (5, 11)} and got.count() == 2
     none = spark.createDataFrame([], "doc_id bigint, text string")
     assert leaked_items(none, items).count() == 0 and leaked_items(documents, spark.createDataFrame([], "item_id bigint, text string")).count() == 0
+
+
+CHINESE = "请编写一个函数读取所有队列中的记录并且按照到达的时间顺序输出结果如果队列为空则返回零"
+
+
+def test_scripts_without_blanks_and_long_tags():
+    assert found("这是另一段文字。" + CHINESE + "。结束", ((1, CHINESE),)) and not found("请编写一个函数", ((1, CHINESE),))
+    tag = '<a title="' + "x " * 400 + '" href=y>'
+    assert words(f"one {tag}two</a> three") == ["one", "two", "three"]
+    assert words("if (i <n && j> m) __a_b__ _") == ["if", "i", "m", "a_b"]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(0, 5), min_size=8, max_size=40), st.lists(st.lists(st.integers(0, 7), max_size=60), min_size=1, max_size=4))
+def test_few_seeds_never_hide_a_pair(item, docs):
+    """All pairs grown from every seed, without the filter on the number of seeds."""
+    from sylvan.llm import contamination
+
+    p = prepare([(1, " ".join(f"w{i}" for i in item))])
+    texts = [np.array([p.codes.get(f"w{i}", 1) for i in d], np.int64) for d in docs]
+    got = {r[:3] for r in search_shard(p, list(range(len(docs))), texts, occurrences=5)}
+    kept, contamination.SEEDS_PER_WORD = contamination.SEEDS_PER_WORD, 0.0
+    want = {r[:3] for r in search_shard(p, list(range(len(docs))), texts)}
+    contamination.SEEDS_PER_WORD = kept
+    assert got == want
