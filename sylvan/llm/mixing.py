@@ -20,7 +20,9 @@ from sylvan.session import spread
 from sylvan.staging import Staging
 from sylvan.tables import read
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+# -- fixed value: how the public byte-level vocabularies cut a text before merging ---------------------
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 KEY_BUCKETS = 4096
 SEED = 20
 
@@ -36,30 +38,48 @@ def quality_weight(text: Column) -> Column:
     return F.greatest(F.lit(0.05), F.coalesce(plain, F.lit(0.05)))
 
 
-def _counter(path: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
+def token_counter(path: str):
+    """Texts to numbers of tokens, by a file of ranks (``.tiktoken``) or of a whole tokenizer (``.json``)."""
+    if path.endswith(".tiktoken"):
+        import base64
+
+        from tiktoken import Encoding
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        encode = Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        return lambda texts: [len(encode(t)) for t in texts]
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    return lambda texts: [len(e.ids) for e in tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)]
+
+
+def _counter(name: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import SparkFiles
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        count = token_counter(SparkFiles.get(name))
         for pdf in batches:
-            encoded = tokenizer.encode_batch_fast(list(pdf["text"]), add_special_tokens=False)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "weight": pdf["weight"], "tokens": [len(e.ids) for e in encoded]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "source": pdf["source"], "weight": pdf["weight"], "tokens": count(pdf["text"])})
 
     return run
 
 
 def sized_records(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, weight: Column | None = None) -> DataFrame:
-    """doc_id, source, weight, tokens of the records whose source has a target."""
+    """doc_id, source, weight, tokens of the records whose source has a target. The tokenizer's file, one the
+    driver can read, is sent to the executors."""
+    documents.sparkSession.sparkContext.addFile(tokenizer)
     names = targets.select(source_key(F.col("source")).alias("source")).distinct()
     rows = spread(documents.select("doc_id", "text", "source")).filter(F.col("doc_id").isNotNull() & (F.length("text") > 0))
     weight = quality_weight(F.col("text")) if weight is None else weight
     rows = rows.select("doc_id", "text", source_key(F.col("source")).alias("source"), weight.alias("weight"))
     rows = rows.join(names, "source", "left_semi").select("doc_id", "source", "weight", "text")
-    return rows.mapInPandas(_counter(tokenizer), "doc_id bigint, source string, weight double, tokens bigint").filter("tokens > 0")
+    return rows.mapInPandas(_counter(tokenizer.rsplit("/", 1)[-1]), "doc_id bigint, source string, weight double, tokens bigint").filter("tokens > 0")
 
 
 def plan_budgets(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:

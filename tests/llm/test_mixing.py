@@ -60,3 +60,10 @@ def test_hot_source_empty_tables_and_ties(spark):
     documents, targets = make(spark, [(1, "x", "a")], [])
     assert mix_sources(documents, targets)[0].count() == 0
     assert spark.createDataFrame([(" Mail_Digest ",)], "s string").select(source_key(F.col("s"))).first()[0] == "mail-digest"
+
+
+def test_both_kinds_of_tokenizer_file_count_alike():
+    from sylvan.llm.mixing import TOKENIZER, token_counter
+
+    texts = ["", "a", "def load(x):\n    return x  # été <|endoftext|> 日本", "don't  stop\t\n\n  it's", "\u200b\U0001f600 12345 " * 50]
+    assert token_counter(TOKENIZER)(texts) == token_counter(TOKENIZER.replace(".tiktoken", ".json"))(texts)
