@@ -23,7 +23,7 @@ for _table, _script in ((CYRILLIC, "Cyrillic"), (GREEK, "Greek")):
 
 CHUNK = regex.compile(r"\S+")
 TOKEN = regex.compile(r"[\p{L}\p{M}]+")
-#: where a token is cut at changes of case; the vocabulary is counted by the same two rules in Spark
+#: where a token is cut at changes of case; the vocabulary is counted by the same rules in Spark
 CUTS = ((r"(\p{Ll})(\p{Lu})", "$1 $2"), (r"(\p{Lu})(\p{Lu}\p{Ll})", "$1 $2"))
 _CUTS = [(regex.compile(a), b.replace("$", "\\")) for a, b in CUTS]
 SCRIPTS = {"Latin": regex.compile(r"\p{Latin}"), "Cyrillic": regex.compile(r"\p{Cyrillic}"), "Greek": regex.compile(r"\p{Greek}")}

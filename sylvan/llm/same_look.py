@@ -14,7 +14,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvan.llm.lookalike import CUTS
 from sylvan.session import spread
 from sylvan.staging import Staging
 from sylvan.tables import read
@@ -43,10 +42,13 @@ def _replace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc_id": pdf["doc_id"], "look": pdf["look"], "text": out})
 
 
-def _words(text):
-    for pattern, parts in CUTS:
-        text = F.regexp_replace(text, pattern, parts)
-    return F.split(F.lower(text), r"[^\p{L}\p{M}]+")
+def _words(text, letters: str = r"\p{L}\p{M}", lower: str = r"\p{Ll}", upper: str = r"\p{Lu}"):
+    """Words of a text in lower case, cut at changes of case like ``lookalike.pieces``."""
+    return F.transform(F.split(text, rf"[^{letters}]+|(?<={lower})(?={upper})|(?<={upper})(?={upper}{lower})"), F.lower)
+
+
+def _all_ascii(text):
+    return F.octet_length(text) == F.length(text)
 
 
 def unify_texts(documents: DataFrame) -> DataFrame:
@@ -60,7 +62,7 @@ def unify_texts(documents: DataFrame) -> DataFrame:
     st = Staging(spark, "look")
     rows = spread(documents.select("doc_id", "text")).filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     rows = rows.select("doc_id", "text", F.sha2("text", 256).alias("look"))
-    pure = F.col("text").rlike(r"\A\p{ASCII}*\z")
+    pure = _all_ascii(F.col("text"))
     schema = f"doc_id bigint, look string, plain string, {_ODD}"
     ascii_rows = rows.filter(pure).select("doc_id", "look", F.col("text").alias("plain"), F.array().cast(_ODD.split(" ", 1)[1]).alias("odd"))
     base = st.put(ascii_rows.unionByName(rows.filter(~pure).mapInPandas(_fold, schema)), "plain")
@@ -69,7 +71,10 @@ def unify_texts(documents: DataFrame) -> DataFrame:
     forms = st.put(forms.select("token", "forms", F.posexplode("forms").alias("rank", "form")), "forms")
     parts = forms.select("form", F.explode(_words(F.col("form"))).alias("word")).filter("word != ''").distinct()
     one_script = F.col("word").rlike(r"\A(?:\p{IsLatin}|\p{M})+\z|\A(?:\p{IsCyrillic}|\p{M})+\z|\A(?:\p{IsGreek}|\p{M})+\z")
-    vocabulary = base.select(F.explode(_words(F.col("plain"))).alias("word")).filter(one_script).groupBy("word").agg(F.count("*").alias("n"))
+    plain, simple = base.select("plain"), _all_ascii(F.col("plain"))
+    in_ascii = plain.filter(simple).select(F.explode(_words(F.col("plain"), "A-Za-z", "[a-z]", "[A-Z]")).alias("word")).filter("word != ''")
+    in_any = plain.filter(~simple).select(F.explode(_words(F.col("plain"))).alias("word")).filter(one_script)
+    vocabulary = in_ascii.unionByName(in_any).groupBy("word").agg(F.count("*").alias("n"))
     support = (
         parts.join(vocabulary, "word", "left").groupBy("form").agg(F.min(F.coalesce("n", F.lit(0))).alias("support"))
     )
@@ -94,23 +99,34 @@ def unify_texts(documents: DataFrame) -> DataFrame:
 
 
 def same_look_classes(documents: DataFrame) -> DataFrame:
-    """doc_id, look, form: texts with one form look the same, texts with one look are equal."""
-    return unify_texts(documents).select("doc_id", "look", F.sha2("text", 256).alias("form"))
+    """doc_id, look, form, n_links: texts with one form look the same, texts with one look are equal; n_links is
+    the number of rows that look like this one without being equal to it.
+
+    Counted per look first, so that a text with any number of copies is one row of its form."""
+    rows = unify_texts(documents).select("doc_id", "look", F.sha2("text", 256).alias("form"))
+    rows = Staging(documents.sparkSession, "looks").put(rows.distinct(), "classes")
+    looks = rows.groupBy("form", "look").agg(F.count("*").alias("equal"))
+    forms = looks.groupBy("form").agg(F.sum("equal").alias("whole"), F.count("*").alias("n_looks")).filter("n_looks > 1")
+    links = looks.join(forms, "form").select("form", "look", (F.col("whole") - F.col("equal")).alias("n_links"))
+    return rows.join(links, ["form", "look"], "left").select("doc_id", "look", "form", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def same_look_pairs(documents: DataFrame) -> DataFrame:
     """Each pair of documents whose texts differ but look the same (doc_id_a < doc_id_b), once.
 
-    Only classes that hold different texts are joined, so the many documents nobody respelled, and groups
-    of equal copies, never meet in the join."""
+    Unequal looks are paired first, each look a single row however many copies it has; then both sides are
+    replaced by their documents. Equal copies never meet, so nothing is tried that is not in the result."""
     st = Staging(documents.sparkSession, "pairs")
-    rows = st.put(same_look_classes(documents).distinct(), "classes")
+    rows = unify_texts(documents).select("doc_id", "look", F.sha2("text", 256).alias("form"))
+    rows = st.put(rows.distinct(), "classes")
     mixed = rows.groupBy("form").agg(F.min("look").alias("a"), F.max("look").alias("b")).filter("a != b").select("form")
-    rows = rows.join(mixed, "form", "left_semi")
-    left = rows.select("form", F.col("look").alias("look_a"), F.col("doc_id").alias("doc_id_a"))
-    right = rows.select("form", F.col("look").alias("look_b"), F.col("doc_id").alias("doc_id_b"))
-    found = left.join(right, "form").filter((F.col("look_a") != F.col("look_b")) & (F.col("doc_id_a") < F.col("doc_id_b")))
-    return found.select("doc_id_a", "doc_id_b").distinct()
+    rows = st.put(rows.join(mixed, "form", "left_semi"), "mixed")
+    looks = rows.select("form", "look").distinct()
+    unequal = looks.select("form", F.col("look").alias("one")).join(looks.select("form", F.col("look").alias("other")), "form").filter("one < other")
+    left = rows.select("form", F.col("look").alias("one"), F.col("doc_id").alias("p"))
+    right = rows.select("form", F.col("look").alias("other"), F.col("doc_id").alias("q"))
+    found = unequal.join(left, ["form", "one"]).join(right, ["form", "other"]).filter("p != q")
+    return found.select(F.least("p", "q").alias("doc_id_a"), F.greatest("p", "q").alias("doc_id_b")).distinct()
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -121,5 +137,9 @@ def p8_unified(spark: SparkSession, d: str) -> DataFrame:
     return unify_texts(read(spark, d, "documents")).select("doc_id", "text")
 
 
-QUERIES = {"p8_found": p8_found, "p8_unified": p8_unified}
+def p8_classes(spark: SparkSession, d: str) -> DataFrame:
+    return same_look_classes(read(spark, d, "documents")).select("doc_id", "form", "n_links")
+
+
+QUERIES = {"p8_found": p8_found, "p8_unified": p8_unified, "p8_classes": p8_classes}
 SQL: dict[str, str] = {}

@@ -47,3 +47,26 @@ def test_repair_needs_a_word_of_the_corpus(spark):
 def test_long_text(spark, long):
     text = "anchor tray " * long
     assert pairs(spark, [(1, text), (2, text + "​")]) == {(1, 2)}
+
+
+def test_words_are_cut_alike_in_spark_and_python(spark):
+    from sylvan.llm.lookalike import TOKEN, pieces
+    from sylvan.llm.same_look import _words
+
+    texts = ["loadHTTPQueue AbCDe x_Y ABcDe aBcD", "ÜberMäßig ДваСлова ABCd", "", "__ 12 a1B"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", _words(F.col("t")).alias("any"), _words(F.col("t"), "A-Za-z", "[a-z]", "[A-Z]").alias("ascii")).collect():
+        want = [p for m in TOKEN.findall(r["t"]) for p in pieces(m)]
+        assert [w for w in r["any"] if w] == want
+        assert not r["t"].isascii() or [w for w in r["ascii"] if w] == want
+
+
+def test_one_hot_form(spark):
+    """Many copies of one text and a few respelled twins: links are counted by look, pairs are as by brute force."""
+    from sylvan.llm.same_look import same_look_classes
+
+    rows = [(i, BASE) for i in range(300)] + [(1000 + i, BASE.replace(" ", "\u00a0", i + 1)) for i in range(3)] + [(2000, "another text")]
+    want = {(a, b) for i, (a, x) in enumerate(rows) for b, y in rows[i + 1 :] if x != y and 2000 not in (a, b)}
+    assert pairs(spark, rows) == want
+    links = {r["doc_id"]: r["n_links"] for r in same_look_classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert links == {d: sum(d in p for p in want) for d, _ in rows}
