@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
+from functools import lru_cache
 
 import regex
 
@@ -68,6 +70,7 @@ def plain_form(text: str) -> str:
     return unicodedata.normalize("NFC", _ODD.sub(one, text))
 
 
+@lru_cache(maxsize=1 << 14)
 def script_of(c: str) -> str:
     if c.isascii():
         return "Latin" if c.isalpha() else ""
@@ -172,8 +175,14 @@ def leading_script(text: str) -> str:
     most letters; Latin where there are no letters. Look-alikes prove nothing about the script they are in."""
     if text.isascii() or not FOREIGN.search(text):
         return "Latin"
-    for patterns in (SURE, SCRIPTS):
-        counts = {name: len(p.findall(text)) for name, p in patterns.items()}
+    sure, all_ = dict.fromkeys(SCRIPTS, 0), dict.fromkeys(SCRIPTS, 0)
+    for c, n in Counter(text).items():
+        s = script_of(c)
+        if s:
+            all_[s] += n
+            if c not in AMBIGUOUS:
+                sure[s] += n
+    for counts in (sure, all_):
         best = max(counts, key=lambda s: (counts[s], s))
         if counts[best]:
             return best

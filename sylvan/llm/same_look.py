@@ -42,9 +42,14 @@ def _replace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc_id": pdf["doc_id"], "look": pdf["look"], "text": out})
 
 
-def _words(text, letters: str = r"\p{L}\p{M}", lower: str = r"\p{Ll}", upper: str = r"\p{Lu}"):
-    """Words of a text in lower case, cut at changes of case like ``lookalike.pieces``."""
-    return F.transform(F.split(text, rf"[^{letters}]+|(?<={lower})(?={upper})|(?<={upper})(?={upper}{lower})"), F.lower)
+def _tokens(text):
+    """Runs of letters; where all is ASCII a plain class is enough."""
+    return F.split(text, F.when(_all_ascii(text), F.lit("[^A-Za-z]+")).otherwise(F.lit(r"[^\p{L}\p{M}]+")))
+
+
+def _words(token):
+    """Words of a token in lower case, cut at changes of case like ``lookalike.pieces``."""
+    return F.transform(F.split(token, r"[^\p{L}\p{M}]+|(?<=\p{Ll})(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})"), F.lower)
 
 
 def _all_ascii(text):
@@ -71,10 +76,9 @@ def unify_texts(documents: DataFrame) -> DataFrame:
     forms = st.put(forms.select("token", "forms", F.posexplode("forms").alias("rank", "form")), "forms")
     parts = forms.select("form", F.explode(_words(F.col("form"))).alias("word")).filter("word != ''").distinct()
     one_script = F.col("word").rlike(r"\A(?:\p{IsLatin}|\p{M})+\z|\A(?:\p{IsCyrillic}|\p{M})+\z|\A(?:\p{IsGreek}|\p{M})+\z")
-    plain, simple = base.select("plain"), _all_ascii(F.col("plain"))
-    in_ascii = plain.filter(simple).select(F.explode(_words(F.col("plain"), "A-Za-z", "[a-z]", "[A-Z]")).alias("word")).filter("word != ''")
-    in_any = plain.filter(~simple).select(F.explode(_words(F.col("plain"))).alias("word")).filter(one_script)
-    vocabulary = in_ascii.unionByName(in_any).groupBy("word").agg(F.count("*").alias("n"))
+    # counted by token first: cutting at changes of case is left to the different tokens
+    tokens = base.select(F.explode(_tokens(F.col("plain"))).alias("token")).filter("token != ''").groupBy("token").agg(F.count("*").alias("n"))
+    vocabulary = tokens.select(F.explode(_words(F.col("token"))).alias("word"), "n").filter(one_script).groupBy("word").agg(F.sum("n").alias("n"))
     support = (
         parts.join(vocabulary, "word", "left").groupBy("form").agg(F.min(F.coalesce("n", F.lit(0))).alias("support"))
     )
