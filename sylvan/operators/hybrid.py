@@ -52,6 +52,11 @@ def _arm(df: DataFrame, arm: str) -> DataFrame:
     return df.select("id", "name", "file_path", "start_line", F.round("score", 6).alias("score"), F.lit(arm).alias("arm"))
 
 
+def _beginnings(name: Column, words: list[str]) -> Column:
+    """A row for each of a query's words that the name begins with."""
+    return F.explode(F.filter(F.array(*[F.lit(w) for w in words]).cast("array<string>"), lambda w: F.coalesce(name.startswith(w), F.lit(False))))
+
+
 def exact_arm(nodes: DataFrame, task: Task) -> DataFrame:
     """Symbols named in the text."""
     hit = nodes.filter(F.col("name").isin(*task.symbols) if task.symbols else F.lit(False))
@@ -60,8 +65,7 @@ def exact_arm(nodes: DataFrame, task: Task) -> DataFrame:
 
 def like_arm(nodes: DataFrame, task: Task, search_limit: int = 5) -> DataFrame:
     """Names that begin with a word of the text; per word the first by length."""
-    terms = nodes.sparkSession.createDataFrame([(t,) for t in task.terms], "term string")  # words of one query
-    hit = nodes.filter(~F.col("kind").isin(*LOW_VALUE)).join(F.broadcast(terms), F.lower("name").startswith(F.col("term")))
+    hit = nodes.filter(~F.col("kind").isin(*LOW_VALUE)).withColumn("term", _beginnings(F.lower("name"), list(task.terms)))
     order = W.partitionBy("term").orderBy(F.when(F.col("name") == F.col("term"), 0).otherwise(1), F.length("name"), "file_path", "start_line", "id")
     hit = hit.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= 4 * search_limit)
     low = F.lower("name")
@@ -76,9 +80,8 @@ def like_arm(nodes: DataFrame, task: Task, search_limit: int = 5) -> DataFrame:
 def prefix_arm(nodes: DataFrame, task: Task, search_limit: int = 5) -> DataFrame:
     """Definitions whose name begins with a word of the text in title case."""
     titles = [title_case(t) for t in task.terms if len(t) >= 3]
-    table = nodes.sparkSession.createDataFrame([(t,) for t in titles], "title string")
     hit = nodes.filter(F.col("kind").isin("class", "struct", "interface", "trait", "protocol", "function", "method", "enum", "type_alias", "component"))
-    hit = hit.join(F.broadcast(table), F.col("name").startswith(F.col("title")))
+    hit = hit.withColumn("title", _beginnings(F.col("name"), titles))
     order = W.partitionBy("title").orderBy(F.length("name"), "file_path", "start_line", "id")
     hit = hit.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= 3 * search_limit)
     brevity = F.greatest(F.lit(0.0), 10.0 - (F.length("name") - F.length("title")) / 3.0)
@@ -183,6 +186,8 @@ def hybrid_search(nodes: DataFrame, file_contents: DataFrame, text: str, search_
     """Top symbols for a task by their names and by the text of their files. Symbols of several ideas gain, those of one idea or none lose; a file that
     holds several named symbols lifts them."""
     task = Task.of(text)
+    needed = ["id", "kind", "name", "qualified_name", "file_path", "signature", "start_line", "end_line", "start_column"]
+    nodes = Staging(nodes.sparkSession, "named").put(nodes.select(*needed), "nodes")  # read by every arm
     named = [exact_arm(nodes, task), like_arm(nodes, task, search_limit), prefix_arm(nodes, task, search_limit), compound_arm(nodes, task, search_limit)]
     fused = fuse([*named, content_arm(nodes, file_contents, task, search_limit)])
     wide = fused.join(nodes.select("id", "qualified_name", "signature"), "id").withColumn("hits", group_hits(task))

@@ -39,9 +39,17 @@ def latest(df: DataFrame, key: str, version: str) -> DataFrame:
     return df.filter(F.col(key).isNotNull()).groupBy(key).agg(row.alias("_row")).select(key, "_row.*").select(*df.columns)
 
 
+def newest(df: DataFrame, key: str, version: str) -> DataFrame:
+    """``latest`` where rows that tie are equal: every column is taken on its own from the row with the largest
+    version, so that the columns a query does not use are neither read nor carried."""
+    order = F.coalesce(F.col(version), F.lit(-(1 << 63)))
+    rest = [F.max_by(c, order).alias(c) for c in df.columns if c not in (key, version)]
+    return df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max(version).alias(version), *rest).select(*df.columns)
+
+
 def current_nodes(nodes: DataFrame) -> DataFrame:
-    return latest(nodes, "id", "updated_at")
+    return newest(nodes, "id", "updated_at")
 
 
 def current_files(files: DataFrame) -> DataFrame:
-    return latest(files, "path", "indexed_at")
+    return newest(files, "path", "indexed_at")
