@@ -59,93 +59,98 @@ def contains_links(nodes: DataFrame, edges: DataFrame, kind: str = "contains") -
     )
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def _jump(
     st: Staging,
     start: DataFrame,
     carry: dict[str, Callable[[Column, Column], Column]],
     name: str,
     sizes: bool = False,
-) -> tuple[DataFrame, int]:
+) -> tuple[DataFrame, DataFrame | None]:
     """Pointer doubling. ``start`` has node, ptr, hops (at a root itself and 0; a node that is its own
     parent has 1) and the carried columns.
 
-    Returns the table with a ``closed`` flag (ptr is a root) and the number of rows left open.
+    Returns the rows that found their root and those that never will (None if there are none). Only rows
+    still on their way are written again in a round; their number comes from the write itself.
     A carried column is folded from the root side: combine(upper, lower). With ``sizes`` the column
-    ``size`` grows to the number of nodes at or below each node.
+    ``size`` grows to the number of nodes at or below each node: what a round adds to a node already at its
+    root is set aside and summed at the end.
     """
     keep = [c for c in start.columns if c not in ("node", "ptr", "hops", *carry)]
-    table = st.put(start.withColumn("closed", F.col("hops") == 0), f"{name}-0")
-    open_now = table.filter(~F.col("closed")).count()
-    step = 0
-    while open_now:
-        upper = table.select(
+    still = F.sum((~F.col("closed")).cast("long"))
+    table, seen = st.put_counted(start.withColumn("closed", F.col("hops") == 0), f"{name}-0", "closed", left=still)
+    left = seen["left"]
+    closed, late, step = [table.filter("closed").withColumn("round", F.lit(0))], [], 0
+    while left:
+        under_way = table.filter(~F.col("closed"))
+        every = _union([c.drop("round") for c in closed] + [under_way])
+        upper = every.select(
             F.col("node").alias("u_node"),
             F.col("ptr").alias("u_ptr"),
             F.col("hops").alias("u_hops"),
             F.col("closed").alias("u_closed"),
             *[F.col(c).alias(f"u_{c}") for c in carry],
         )
-        moved = (
-            table.filter(~F.col("closed"))
-            .join(upper, F.col("ptr") == F.col("u_node"))
-            .select(
-                "node",
-                F.col("u_ptr").alias("ptr"),
-                (F.col("hops") + F.col("u_hops")).alias("hops"),
-                *[combine(F.col(f"u_{c}"), F.col(c)).alias(c) for c, combine in carry.items()],
-                *keep,
-                F.col("u_closed").alias("closed"),
-            )
+        moved = under_way.join(upper, F.col("ptr") == F.col("u_node")).select(
+            "node",
+            F.col("u_ptr").alias("ptr"),
+            (F.col("hops") + F.col("u_hops")).alias("hops"),
+            *[combine(F.col(f"u_{c}"), F.col(c)).alias(c) for c, combine in carry.items()],
+            *keep,
+            F.col("u_closed").alias("closed"),
         )
-        after = moved.unionByName(table.filter("closed").select(*moved.columns))
         if sizes:
             grown = (
-                table.filter((F.col("hops") == 1 << step) & (F.col("ptr") != F.col("node")))
+                under_way.filter((F.col("hops") == 1 << step) & (F.col("ptr") != F.col("node")))
                 .groupBy(F.col("ptr").alias("g_node"))
                 .agg(F.sum("size").alias("more"))
             )
-            after = (
-                after.join(grown, F.col("node") == F.col("g_node"), "left")
-                .withColumn("size", F.col("size") + F.coalesce("more", F.lit(0)))
-                .drop("g_node", "more")
-            )
+            late.append(grown.withColumn("g_round", F.lit(step)))
+            moved = moved.join(grown, F.col("node") == F.col("g_node"), "left").withColumn("size", F.col("size") + F.coalesce("more", F.lit(0)))
+            moved = moved.drop("g_node", "more")
         step += 1
-        after = st.put(after, f"{name}-{step}")
-        st.drop(table)
-        table = after
-        left = table.filter(~F.col("closed")).count()
-        if left == open_now:
+        before, (table, seen) = left, st.put_counted(moved, f"{name}-{step}", "closed", left=still)
+        left = seen["left"]
+        closed.append(table.filter("closed").withColumn("round", F.lit(step)))
+        if left == before:
             break
-        open_now = left
-    return table, table.filter(~F.col("closed")).count() if open_now else 0
+    done = _union(closed)
+    if late:
+        owed = _union(late).join(done.select("node", "round"), F.col("g_node") == F.col("node")).filter(F.col("g_round") >= F.col("round"))
+        owed = owed.groupBy("g_node").agg(F.sum("more").alias("more"))
+        done = done.join(owed, F.col("node") == F.col("g_node"), "left").withColumn("size", F.col("size") + F.coalesce("more", F.lit(0)))
+        done = done.drop("g_node", "more")
+    return done.drop("round", "closed"), table.filter(~F.col("closed")).drop("closed") if left else None
 
 
 def _cycles(st: Staging, stuck: DataFrame) -> DataFrame:
     """(node, parent, cycle_id, on_cycle) of nodes whose ancestors never end at a root.
 
     The image of the 2^k-step walk shrinks to exactly the nodes on cycles; the smallest id of a walk
-    stops changing once it has gone round. Both are tested on counts, nothing is collected."""
+    stops changing once it has gone round. Both are tested on counts, nothing is collected; the image, whose
+    count is a job of its own, is looked at only from the round on in which no id changes."""
     table = st.put(stuck.select("node", "parent", F.col("parent").alias("ptr"), F.col("node").alias("low")), "cycle-0")
     image, step = -1, 0
     while True:
         up = table.select(F.col("node").alias("u_node"), F.col("ptr").alias("u_ptr"), F.col("low").alias("u_low"))
         step += 1
-        after = st.put(
-            table.join(up, F.col("ptr") == F.col("u_node")).select(
-                "node",
-                "parent",
-                F.col("u_ptr").alias("ptr"),
-                F.least("low", "u_low").alias("low"),
-                (F.col("u_low") < F.col("low")).cast("int").alias("changed"),
-            ),
-            f"cycle-{step}",
-        )
-        seen = after.agg(F.countDistinct("ptr").alias("image"), F.coalesce(F.sum("changed"), F.lit(0)).alias("changed")).first()
+        after = table.join(up, F.col("ptr") == F.col("u_node")).select("node", "parent", F.col("u_ptr").alias("ptr"), F.least("low", "u_low").alias("low"), (F.col("u_low") < F.col("low")).alias("changed"))
+        after, seen = st.put_counted(after, f"cycle-{step}", changed=F.sum(F.col("changed").cast("long")))
         st.drop(table)
-        table = after
-        if seen["image"] == image and not seen["changed"]:
-            break
-        image = seen["image"]
+        table = after.drop("changed")
+        table._sylvan_path = after._sylvan_path
+        # the image can only be whole once no smallest id changes any more
+        if not seen["changed"]:
+            size = table.agg(F.countDistinct("ptr").alias("n")).first()["n"]
+            if size == image:
+                break
+            image = size
     on_cycle = table.select(F.col("ptr").alias("c_node")).distinct()
     low = table.join(on_cycle, F.col("node") == F.col("c_node"), "left_semi").select(
         F.col("node").alias("c_node"), F.col("low").alias("cycle_id")
@@ -185,8 +190,8 @@ def hierarchy(
         F.coalesce("label", "node").alias("label"),
         F.lit(1).cast("long").alias("size"),
     )
-    table, open_rows = _jump(st, start, {}, "up", sizes=True)
-    tree = table.filter("closed").select("node", "parent", "label", "size")
+    rooted, lost_rows = _jump(st, start, {}, "up", sizes=True)
+    tree = st.put(rooted.select("node", "parent", "label", "size"), "sizes")
 
     heavy = tree.filter(F.col("parent").isNotNull()).groupBy("parent").agg(F.max(F.struct("size", "node")).alias("h"))
     heavy = st.put(heavy.select("parent", F.col("h.node").alias("h_node"), F.col("h.size").alias("h_size")), "heavy")
@@ -204,7 +209,7 @@ def hierarchy(
     )
     join_up = {"seg": lambda u, x: F.concat(u, x)} if paths else {}
     inside, _ = _jump(st, chain_start, join_up, "chain")
-    inside = inside.withColumnRenamed("ptr", "chain").withColumnRenamed("hops", "chain_pos").drop("closed")
+    inside = inside.withColumnRenamed("ptr", "chain").withColumnRenamed("hops", "chain_pos")
 
     # Light siblings follow the heavy subtree in the order of a hash; sums by (parent, hash bucket)
     # come first, so that a parent with a third of all nodes is numbered in 2^SIBLING_BITS tasks.
@@ -287,9 +292,9 @@ def hierarchy(
             else []
         ),
     )
-    if not open_rows:
+    if lost_rows is None:
         return found
-    ring = _cycles(st, table.filter(~F.col("closed")))
+    ring = _cycles(st, lost_rows)
     lost = ring.select(
         "node",
         "parent",

@@ -12,7 +12,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _LOCAL: dict[str, str] = {}
 
@@ -44,10 +44,12 @@ class Staging:
         self.count = 0
         atexit.register(self.clear)
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
+    def put(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """Writes a table and reads it back; with ``by`` in a folder for each value of that column."""
         path = f"{self.base}/{self.count:03d}-{name}"
         self.count += 1
-        df.write.mode("overwrite").parquet(path)
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy(by) if by else writer).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         out._sylvan_path = path
@@ -58,6 +60,14 @@ class Staging:
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
+    def put_counted(self, df: DataFrame, name: str, by: str | None = None, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+        """``put`` with aggregates taken while the rows are written, so that no second job reads them. A task that
+        runs again is not counted twice in one write, since only the successful stage attempt reports."""
+        seen = Observation()
+        written = self.put(df.observe(seen, *[c.alias(n) for n, c in counts.items()]), name, by)
+        found = seen.get
+        return written, {n: int(found.get(n) or 0) for n in counts}
+
     def drop(self, *tables: DataFrame) -> None:
         """Remove staged tables that no later plan reads."""
         for table in tables:
