@@ -3,7 +3,8 @@
 Each input split, whatever keys it holds, encodes its keys with a dictionary of its own and adds its
 rows into dense numpy arrays (``bincount`` for counts, scatter-min and -max for the ends). The arrays
 leave the split cut into blocks of the key space, one partial entry per key and split, so the heaviest
-key costs no more to shuffle than any other. Blocks are then summed until one is left per key range.
+key costs no more to shuffle than any other. Within a block partial arrays come in the order of their keys
+and are summed run by run, so that neither the number of keys nor that of splits must fit into memory.
 """
 
 from __future__ import annotations
@@ -111,21 +112,49 @@ def _emit(acc: BlockAccumulator, blocks: int) -> pa.RecordBatch:
     )
 
 
-def _sum_block(table: pa.Table) -> pa.Table:
-    """Adds the partial arrays of one block of keys."""
-    acc = BlockAccumulator()
-    codes = acc.encode(table.column("key").combine_chunks())
-    num = {c: table.column(c).to_numpy() for c in ("n_rows", "n_distinct", "low", "high")}
-    acc.add(codes, num["n_rows"], num["n_distinct"], num["low"], num["high"])
-    low = pa.array(acc.low, mask=acc.low == _LOW)
-    high = pa.array(acc.high, mask=acc.high == _HIGH)
-    return pa.table([pa.array(acc.keys, pa.string()), pa.array(acc.rows), pa.array(acc.distinct), low, high], names=["key", "n_rows", "n_distinct", "low", "high"])
+def _sum_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the partial arrays of a block, which come in the order of their keys: one segment sum per batch,
+    the last key of which waits for the next batch."""
+    held: list | None = None  # the open key with its sums
+
+    def out(rows: list[list]) -> pa.RecordBatch:
+        key, n_rows, n_distinct, low, high = zip(*rows)
+        return _summed(pa.array(key, pa.string()), np.array(n_rows, np.int64), np.array(n_distinct, np.int64), np.array(low, np.int64), np.array(high, np.int64))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column("key")
+        same = pc.fill_null(pc.equal(keys.slice(1), keys.slice(0, len(keys) - 1)), False).to_numpy(zero_copy_only=False)
+        start = np.concatenate(([0], np.flatnonzero(~same) + 1))
+        num = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("n_rows", "n_distinct", "low", "high")}
+        n_rows, n_distinct = np.add.reduceat(num["n_rows"], start), np.add.reduceat(num["n_distinct"], start)
+        low, high = np.minimum.reduceat(num["low"], start), np.maximum.reduceat(num["high"], start)
+        first = keys.take(pa.array(start))
+        if held is not None:
+            if held[0] == first[0].as_py():
+                n_rows[0] += held[1]
+                n_distinct[0] += held[2]
+                low[0], high[0] = min(low[0], held[3]), max(high[0], held[4])
+            else:
+                yield out([held])
+        last = len(start) - 1
+        held = [first[last].as_py(), int(n_rows[last]), int(n_distinct[last]), int(low[last]), int(high[last])]
+        if last:
+            yield _summed(first.slice(0, last), n_rows[:last], n_distinct[:last], low[:last], high[:last])
+    if held is not None:
+        yield out([held])
+
+
+def _summed(keys: pa.Array, n_rows: np.ndarray, n_distinct: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
+    ends = [pa.array(low, mask=low == _LOW), pa.array(high, mask=high == _HIGH)]
+    return pa.RecordBatch.from_arrays([keys, pa.array(n_rows), pa.array(n_distinct), *ends], names=["key", "n_rows", "n_distinct", "low", "high"])
 
 
 def dense_key_stats(
     rows: DataFrame,
     keys: list[str],
-    member: str,
+    member: str | None,
     value: str,
     *,
     blocks: int | None = None,
@@ -136,21 +165,24 @@ def dense_key_stats(
     Returns ``keys`` (strings) with n_rows, n_sources, first_line and last_line (as BIGINT columns cast
     back to the value's type). Null keys form a group of their own; null members are not counted; null
     values are skipped, all-null gives null. Empty input gives no rows. Other columns are ignored.
-    ``blocks`` is the number of pieces of the key space that are summed apart (default: the shuffle
-    partitions); raise it with the number of distinct keys.
+    Without ``member`` distinct members are not counted (n_sources 0), which spares the shuffle of all pairs.
+    ``blocks`` is the number of pieces of the key space that are summed apart (default: four times the tasks
+    that can run at once).
     """
     spark = rows.sparkSession
     blocks = blocks or 4 * parallelism(spark)
     kind = rows.schema[value].dataType
     key = F.to_json(F.struct(*[F.col(k).cast("string").alias(f"k{i}") for i, k in enumerate(keys)]))
     one = rows.select(key.alias("key"), F.col(value).cast("long").alias("v"), F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("d"))
-    # Each (key, member) pair once: spread by both, and reduced on the map side before the shuffle.
-    pairs = rows.filter(F.col(member).isNotNull()).select(key.alias("key"), F.col(member).alias("m")).distinct()
-    two = pairs.select("key", F.lit(None).cast("long").alias("v"), F.lit(0).cast("long").alias("n"), F.lit(1).cast("long").alias("d"))
     run = _split(blocks, flush_keys)
-    parts = one.mapInArrow(run, _PART).unionByName(two.mapInArrow(run, _PART))
+    parts = one.mapInArrow(run, _PART)
+    if member is not None:
+        # Each (key, member) pair once: spread by both, and reduced on the map side before the shuffle.
+        pairs = rows.filter(F.col(member).isNotNull()).select(key.alias("key"), F.col(member).alias("m")).distinct()
+        two = pairs.select("key", F.lit(None).cast("long").alias("v"), F.lit(0).cast("long").alias("n"), F.lit(1).cast("long").alias("d"))
+        parts = parts.unionByName(two.mapInArrow(run, _PART))
     out = "key string, n_rows bigint, n_distinct bigint, low bigint, high bigint"
-    total = parts.groupBy("block").applyInArrow(_sum_block, out)
+    total = parts.repartition(blocks, "block").sortWithinPartitions("key").drop("block").mapInArrow(_sum_runs, out)
     back = F.from_json("key", T.StructType([T.StructField(f"k{i}", T.StringType()) for i in range(len(keys))]))
     return total.withColumn("k", back).select(
         *[F.col(f"k.k{i}").cast(rows.schema[c].dataType).alias(c) for i, c in enumerate(keys)],

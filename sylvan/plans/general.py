@@ -48,8 +48,8 @@ def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     edges = read(spark, d, "edges")
-    stats = dense_key_stats(spread(edges.select("target", "kind", "source", "line")), ["target", "kind"], "source", "line")
-    total = stats.agg(F.sum("n_rows").alias("total"))
+    stats = dense_key_stats(spread(edges.select("target", "kind", "line")), ["target", "kind"], None, "line")
+    total = edges.agg(F.count("*").alias("total"))
     return stats.crossJoin(F.broadcast(total)).filter(F.col("n_rows") * 100 >= F.col("total")).select("target", "kind")
 
 
