@@ -102,6 +102,20 @@ def overlap(terms: list[str], *texts: Column) -> Column:
     return total
 
 
+def file_uri(path: Column) -> Column:
+    """A path as a file URI: everything but letters, digits, ``-._~`` and ``/`` escaped."""
+    escaped = F.url_encode(path)
+    for form, wanted in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%2F", "/")):
+        escaped = F.replace(escaped, F.lit(form), F.lit(wanted))
+    return F.concat(F.lit("file://"), escaped)
+
+
+def uri_path(uri: Column) -> Column:
+    """The path of a file URI; null for other URIs and for escapes that are none."""
+    bare = F.replace(F.substr(uri, F.lit(8)), F.lit("+"), F.lit("%2B"))
+    return F.when(uri.startswith("file://"), F.try_url_decode(bare))
+
+
 def tag_field(text: Column) -> Column:
     """A field of a tags file: backslashes doubled, tabs and line ends as blanks."""
     return F.regexp_replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), "[\t\r\n]", " ")

@@ -23,6 +23,9 @@ ENTRY_PRIORITY = (
     dict.fromkeys(NODE_KINDS, 1) | dict.fromkeys(_CALLABLE, 4) | dict.fromkeys(_SHAPES, 3) | dict.fromkeys(("enum", "type_alias", "module", "namespace"), 2)
     | dict.fromkeys(("variable", "field", "property"), 0)
 )
+CODE_BLOCK_PRIORITY = (
+    dict.fromkeys(NODE_KINDS, 1) | dict.fromkeys(_CALLABLE, 4) | dict.fromkeys(_SHAPES, 3) | dict.fromkeys(("enum", "type_alias"), 2) | dict.fromkeys(("variable", "field", "property"), 0)
+)
 RESOLUTION_SCORE = (
     dict.fromkeys(NODE_KINDS, 2) | dict.fromkeys(_CALLABLE, 9) | dict.fromkeys((*_SHAPES, "protocol"), 8) | {"component": 7} | dict.fromkeys(_VALUES, 5)
     | dict.fromkeys(("module", "namespace", "enum", "type_alias"), 4) | dict.fromkeys(("import", "export", "parameter"), 1)
@@ -39,6 +42,11 @@ TAG_LANGUAGE = {
     "c": "C", "cpp": "C++", "javascript": "JavaScript", "typescript": "TypeScript", "tsx": "TypeScript", "jsx": "JavaScript", "python": "Python", "go": "Go",
     "rust": "Rust", "shell": "Sh", "esqlc": "C",
 }
+#: numbers editors use for kinds of symbols
+EDITOR_KIND = {
+    "file": 1, "module": 2, "namespace": 2, "import": 3, "export": 3, "class": 5, "struct": 5, "component": 5, "method": 6, "property": 7, "field": 8, "enum": 10, "interface": 11, "trait": 11,
+    "protocol": 11, "function": 12, "variable": 13, "parameter": 13, "constant": 14, "enum_member": 22, "type_alias": 26,
+}
 LOW_VALUE = ("import", "export", "parameter")
 UNTAGGED = ("import", "export", "file", "module")
 DEFINITIONS = ("class", "struct", "interface", "trait", "protocol", "function", "method", "enum", "type_alias", "component")

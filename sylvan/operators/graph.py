@@ -53,6 +53,15 @@ def callees(nodes: DataFrame, edges: DataFrame, by_name: bool = False) -> DataFr
     return nodes.select("id", "name").join(called, "name").select("id", "callee_id").distinct()
 
 
+def edges_for_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, edge_seq, found_by): edges at either end of each node by id; of a node without any, those by its name."""
+    ends = edges.select("edge_seq", F.explode(F.array_distinct(F.array("source", "target"))).alias("end")).filter(F.col("end").isNotNull())
+    by_id = nodes.select("id").join(ends, F.col("id") == F.col("end")).select("id", "edge_seq")
+    bare = nodes.select("id", "name").join(ends, F.col("id") == F.col("end"), "left_anti")
+    by_name = bare.join(ends, F.col("name") == F.col("end")).select("id", "edge_seq")
+    return by_id.withColumn("found_by", F.lit("id")).unionByName(by_name.withColumn("found_by", F.lit("name")))
+
+
 def uncalled_functions(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Functions that no call names, neither by id nor by name."""
     called = edges.filter((F.col("kind") == "calls") & F.col("target").isNotNull()).select("target").distinct()

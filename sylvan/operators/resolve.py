@@ -99,6 +99,12 @@ def unresolved_groups(refs: DataFrame, limit: int | None = None) -> DataFrame:
     return out.orderBy(F.desc("n"), "reference_name", "reference_kind", "file_path", "language").limit(limit)
 
 
+def pending_of(refs: DataFrame, paths: DataFrame) -> DataFrame:
+    """Pending references from some files (column path)."""
+    some = paths.select(F.col("path").alias("file_path")).distinct()
+    return refs.filter(F.col("resolution_status").isNull()).join(some, "file_path", "left_semi")
+
+
 def name_pieces(name: Column) -> Column:
     """A name, its parts at each of ``. : / \\``, and those with a capital first letter."""
     parts = F.concat(F.array(name), *[F.split(name, sep) for sep in (r"\.", ":", "/", r"\\")])
