@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from sylvan import tables
 from sylvan.extract.run import extract_rows, links_of, nodes_of, unresolved_of
-from sylvan.operators import export, graph, hybrid, resolve, search, sync, text_search
+from sylvan.functions.columns import language_of, skipped_path
+from sylvan.operators import context, export, graph, resolve, search, sync, text_search
 from sylvan.staging import Staging
 
 TABLES = ("nodes", "edges", "files", "file_contents", "unresolved_refs")
@@ -34,10 +36,13 @@ class Engine:
         return cls(spark, tables.current_nodes(t["nodes"]), t["edges"], tables.current_files(t["files"]), t["file_contents"], t["unresolved_refs"])
 
     @classmethod
-    def index(cls, spark: SparkSession, sources: DataFrame, resolve_refs: bool = True) -> Engine:
-        """Extracts (path, content, language[, size, modified_at]) into a new snapshot and resolves references."""
+    def index(cls, spark: SparkSession, sources: DataFrame, resolve_refs: bool = True, units: DataFrame | None = None, progress: Callable[[str, dict[str, int]], None] | None = None) -> Engine:
+        """Extracts (path, content, language[, size, modified_at]) into a new snapshot and resolves references, with
+        the ``units`` of a build database if there is one. ``progress`` hears of each stage and what it counted."""
         st = Staging(spark, "index")
-        rows = st.put(extract_rows(sources), "rows")
+        rows, seen = st.put_counted(extract_rows(sources), "rows", symbols=F.sum(F.col("node").isNotNull().cast("long")), links=F.sum(F.col("link").isNotNull().cast("long")))
+        if progress:
+            progress("extracted", seen)
         nodes = nodes_of(rows)
         order = F.monotonically_increasing_id()
         edges = st.put(links_of(rows).drop("file_path").withColumn("edge_seq", order).select("edge_seq", "source", "target", "kind", "metadata", "line", "col", "provenance"), "edges")
@@ -49,13 +54,20 @@ class Engine:
         files = sources.select("path", F.sha2("content", 256).alias("content_hash"), "language", size.alias("size"), mtime.alias("modified_at"), F.unix_millis(F.current_timestamp()).alias("indexed_at"))
         files = files.join(counts, "path", "left").fillna(0, ["node_count"]).withColumn("errors", F.lit(None).cast("array<string>"))
         engine = cls(spark, nodes, edges, files, sources.select("path", "content"), refs)
-        return engine.resolve() if resolve_refs else engine
-
-    def resolve(self) -> Engine:
-        """Points edges at the nodes their names resolve to and takes the resolved references off the queue."""
+        if not resolve_refs:
+            return engine
+        done = engine.resolve(units)
+        if progress:
+            progress("resolved", {})
+        return done
+
+    def resolve(self, units: DataFrame | None = None, paths: DataFrame | None = None) -> Engine:
+        """Points edges at the nodes their names resolve to and takes the resolved references off the queue; with
+        ``paths`` (column path) only those of these files."""
         st = Staging(self.spark, "resolve")
-        links = resolve.include_closure(resolve.imported_files(self.nodes, self.files))
-        done = st.put(resolve.resolve_groups(self.unresolved_refs, self.nodes, links), "groups")
+        links = resolve.include_closure(resolve.imported_files(self.nodes, self.files, units))
+        refs = self.unresolved_refs if paths is None else resolve.pending_of(self.unresolved_refs, paths)
+        done = st.put(resolve.resolve_groups(refs, self.nodes, links, units=units), "groups")
         edges = st.put(resolve.retarget_edges(self.edges, self.nodes, done), "edges")
         key = ["reference_name", "reference_kind", "file_path", "language"]
         closed = done.filter(F.col("node_id").isNotNull() | (F.col("reason") == "external_builtin")).select(*key)
@@ -73,8 +85,21 @@ class Engine:
     def sync(self, sources: DataFrame) -> Engine:
         """The snapshot brought up to date with a scan: files that are gone or changed are replaced, the others'
         rows stay as they are, and edges into changed files are queued again by name."""
+        state = Staging(self.spark, "sync").put(sync.classify(self.files, sync.scan_rows(sources)), "state")
+        return self._apply(state, sources)
+
+    def sync_file(self, path: str, content: str | None, language: str | None = None) -> Engine:
+        """The snapshot with one file as it is now; None for a file that is gone. Nothing is done where the content is
+        the stored one; a path that is never indexed counts as gone."""
+        one = self.spark.createDataFrame([(path, content, language)], "path string, content string, language string")
+        one = one.withColumn("language", F.coalesce("language", language_of(F.col("path"), F.col("content"))))
+        one = one.filter(F.col("content").isNotNull() & F.col("language").isNotNull() & ~skipped_path(F.col("path")))
+        stored = self.files.filter(F.col("path") == path)
+        state = Staging(self.spark, "sync-file").put(sync.classify(stored, sync.scan_rows(one)), "state")
+        return self if state.filter(F.col("state") != "unchanged").isEmpty() else self._apply(state, one)
+
+    def _apply(self, state: DataFrame, sources: DataFrame) -> Engine:
         st = Staging(self.spark, "sync")
-        state = st.put(sync.classify(self.files, sync.scan_rows(sources)), "state")
         stale = state.filter(F.col("state").isin("deleted", "changed")).select("path")
         fresh = sources.join(state.filter(F.col("state").isin("added", "changed")).select("path"), "path", "left_semi")
         new = Engine.index(self.spark, fresh, resolve_refs=False)
@@ -93,6 +118,32 @@ class Engine:
         )
         return out.resolve()
 
+    # -- lookups ----------------------------------------------------------
+    def file(self, path: str) -> DataFrame:
+        return self.files.filter(F.col("path") == path)
+
+    def list_files(self, language: str | None = None) -> DataFrame:
+        some = self.files if language is None else self.files.filter(F.col("language") == language)
+        return some.orderBy("path")
+
+    def nodes_of_kind(self, kind: str) -> DataFrame:
+        return self.nodes.filter(F.col("kind") == kind)
+
+    def edges_of_kind(self, kind: str) -> DataFrame:
+        return self.edges.filter(F.col("kind") == kind)
+
+    def edges_of(self, node_id: str) -> DataFrame:
+        """Edges at either end of a node; where there are none, those at its name."""
+        found = graph.edges_for_nodes(self.node(node_id), self.edges).select("edge_seq", "found_by")
+        return self.edges.join(F.broadcast(found), "edge_seq")
+
+    def pending(self, path: str | None = None, name: str | None = None, limit: int = 1000) -> DataFrame:
+        """Unresolved references waiting for resolution, of one file or one name."""
+        some = self.unresolved_refs.filter(F.col("resolution_status").isNull())
+        some = some if path is None else some.filter(F.col("file_path") == path)
+        some = some if name is None else some.filter(F.col("reference_name") == name)
+        return some.orderBy("ref_seq").limit(limit)
+
     # -- symbols ----------------------------------------------------------
     def search(self, pattern: str, kind: str | None = None, limit: int = 10) -> DataFrame:
         return search.search_symbols(self.nodes, pattern, kind, limit)
@@ -169,16 +220,33 @@ class Engine:
         return text_search.bm25(self.file_contents, "path", "content", terms).orderBy(F.desc("score"), "path").limit(limit)
 
     def context(self, task: str, max_nodes: int = 20) -> DataFrame:
-        ranked = hybrid.hybrid_search(self.nodes, self.file_contents, task, max_nodes=max_nodes)
-        return hybrid.diversity_cap(ranked, max_nodes).orderBy(F.desc("score"), "id")
+        """The symbols to show for a task, entry points first."""
+        kept = context.context_nodes(self.nodes, self.edges, self.file_contents, task, max_nodes)
+        return kept.orderBy(F.desc("is_root"), F.desc("score"), "start_line", "id")
+
+    def build_context(self, task: str, max_nodes: int = 20, with_code: bool = True) -> context.Context:
+        """Symbols, edges, call paths and code for a task: at most what is shown comes to the driver."""
+        return context.build_context(self.nodes, self.edges, self.file_contents, task, self.files.count(), max_nodes, with_code)
 
-    def context_markdown(self, task: str, max_nodes: int = 20) -> str:
-        """A bounded report: at most ``max_nodes`` rows come to the driver."""
-        rows = self.context(task, max_nodes).collect()
-        out = [f"# {task}", ""]
-        for r in rows:
-            out.append(f"- `{r['name']}` {r['file_path']}:{r['start_line']} ({r['arm']}, {r['score']:.1f})")
-        return "\n".join(out)
+    def context_markdown(self, task: str, max_nodes: int = 20, with_code: bool = True) -> str:
+        return self.build_context(task, max_nodes, with_code).markdown()
+
+    def context_json(self, task: str, max_nodes: int = 20, with_code: bool = True) -> str:
+        return self.build_context(task, max_nodes, with_code).json()
+
+    def explore(self, query: str, max_files: int = 0) -> str:
+        """Symbols of a query by file with their source and the relations among them."""
+        return context.explore(self.nodes, self.edges, self.file_contents, query, self.files.count(), max_files)
+
+    def node_text_search(self, query: str, limit: int = 10) -> DataFrame:
+        """Symbols by the words of their names, documentation and signatures, best first."""
+        from sylvan.functions.terms import match_terms
+
+        terms = match_terms(query)
+        text = F.concat_ws(" ", "name", "qualified_name", F.coalesce("docstring", F.lit("")), F.coalesce("signature", F.lit("")))
+        if not terms:
+            return self.spark.createDataFrame([], "id string, score double")
+        return text_search.bm25(self.nodes.select("id", text.alias("text")), "id", "text", terms).orderBy(F.desc("score"), "id").limit(limit)
 
     # -- whole snapshot -----------------------------------------------------
     def stats(self) -> DataFrame:
@@ -189,5 +257,5 @@ class Engine:
             out = part if out is None else out.unionByName(part)
         return out
 
-    def write_tags(self, path: str) -> None:
-        export.write_tags(self.nodes, path)
+    def write_tags(self, path: str, one_file: bool = False) -> None:
+        export.write_tags(self.nodes, path, one_file)

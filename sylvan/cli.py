@@ -3,11 +3,27 @@
 from __future__ import annotations
 
 import argparse
+import os
 import shutil
 
 from sylvan.session import build_session
 
-COMMANDS = "init index sync status ctags query files context callers callees references uncalled impact trace uninit".split()
+COMMANDS = "init index sync status ctags query files context explore callers callees references uncalled impact trace uninit".split()
+
+
+def swap(snapshot: str) -> None:
+    """Puts the snapshot written beside the current one in its place; at every moment one of them is whole."""
+    old = snapshot + ".old"
+    shutil.rmtree(old, ignore_errors=True)
+    os.rename(snapshot, old)
+    os.rename(snapshot + ".next", snapshot)
+    shutil.rmtree(old, ignore_errors=True)
+
+
+def recover(snapshot: str) -> None:
+    """After a swap that was cut short the old snapshot counts."""
+    if not os.path.exists(snapshot) and os.path.exists(snapshot + ".old"):
+        os.rename(snapshot + ".old", snapshot)
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -30,25 +46,30 @@ def main(argv: list[str] | None = None) -> int:
     if args.command in ("init", "index"):
         Engine.index(spark, scan_files(spark, args.root)).save(args.snapshot)
         return 0
+    recover(args.snapshot)
     engine = Engine.open(spark, args.snapshot)
     if args.command == "sync":
         fresh = engine.sync(scan_files(spark, args.root))
         fresh.save(args.snapshot + ".next")
-        shutil.rmtree(args.snapshot)
-        shutil.move(args.snapshot + ".next", args.snapshot)
+        swap(args.snapshot)
         return 0
     word = " ".join(args.words)
     if args.command == "ctags":
         engine.write_tags(word or "tags")
         return 0
+    if args.command in ("context", "explore"):
+        if args.command == "explore":
+            print(engine.explore(word, args.limit))
+        else:
+            print(engine.context_json(word, args.limit) if args.json else engine.context_markdown(word, args.limit))
+        return 0
     if args.command == "trace":
         print(engine.trace(*args.words[:2]))
         return 0
     answer = {
         "status": engine.stats,
         "query": lambda: engine.search(word, None, args.limit),
-        "files": lambda: engine.files.orderBy("path"),
-        "context": lambda: engine.context(word, args.limit),
+        "files": lambda: engine.list_files(word or None),
         "callers": lambda: engine.callers(word, args.limit),
         "callees": lambda: engine.callees(word, args.limit),
         "references": lambda: engine.references(word, args.limit),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylvan.functions.columns import tag_field
@@ -37,12 +37,34 @@ def tag_lines(nodes: DataFrame) -> DataFrame:
     return some.select("name", "file_path", "start_line", line.alias("line"))
 
 
-def write_tags(nodes: DataFrame, path: str) -> None:
-    """A sorted tags file as text: the head first, then one line a symbol, in one file."""
+def write_tags(nodes: DataFrame, path: str, one_file: bool = False) -> None:
+    """A sorted tags file: the head first, then one line a symbol, as a folder of sorted parts that all tasks write.
+    With ``one_file`` the parts are then appended to a file of that name, byte by byte, nothing of them held in memory."""
     head = nodes.sparkSession.createDataFrame([(i, h) for i, h in enumerate(HEAD)], "start_line int, line string")
     head = head.select(F.lit(0).alias("part"), F.lit("").alias("name"), F.lit("").alias("file_path"), "start_line", "line")
     rows = head.unionByName(tag_lines(nodes).withColumn("part", F.lit(1)))
-    rows.orderBy("part", "name", "file_path", "start_line").select("line").coalesce(1).write.mode("overwrite").text(path)
+    parts = path.rstrip("/") + ".parts" if one_file else path
+    rows.orderBy("part", "name", "file_path", "start_line").select("line").write.mode("overwrite").text(parts)
+    if one_file:
+        join_parts(nodes.sparkSession, parts, path)
+
+
+def join_parts(spark: SparkSession, folder: str, target: str) -> None:
+    """One file out of the part files of a folder, in their order; the folder goes."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    source, out = jvm.org.apache.hadoop.fs.Path(folder), jvm.org.apache.hadoop.fs.Path(target)
+    fs = source.getFileSystem(conf)
+    names = sorted(s.getPath().getName() for s in fs.listStatus(source) if s.getPath().getName().startswith("part-"))
+    fs.delete(out, True)
+    stream = fs.create(out, True)
+    try:
+        for name in names:
+            part = fs.open(jvm.org.apache.hadoop.fs.Path(source, name))
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, stream, conf, False)
+            part.close()
+    finally:
+        stream.close()
+    fs.delete(source, True)
 
 
 def as_json(rows: DataFrame) -> DataFrame:

@@ -120,13 +120,15 @@ def possible_names(groups: DataFrame, nodes: DataFrame) -> DataFrame:
     return pieces.join(known, "piece", "left_semi").select("reference_name").distinct()
 
 
-def resolve_groups(refs: DataFrame, nodes: DataFrame, imported: DataFrame | None = None, candidates: int = 50, names: dict[str, list[str]] | None = None) -> DataFrame:
+def resolve_groups(refs: DataFrame, nodes: DataFrame, imported: DataFrame | None = None, candidates: int = 50, names: dict[str, list[str]] | None = None, units: DataFrame | None = None) -> DataFrame:
     """One row per pending group with the node it resolves to and the rule that decided, else the reason.
 
     Rules in order: builtin names are external; a symbol of that name in the same file; the only candidate
-    by name or qualified name; a candidate in an imported file (``imported``: file_path, target_path; the
-    best one in the C family, else only if it is the only one; an included header gives way to an
-    implementation elsewhere for calls); in the C family the better of the first two candidates if they
+    by name or qualified name; in the C family a candidate of the build (``units``: file_path, directory,
+    include_dirs of a build database; a file that is built, else one below an include folder of the
+    referring file's unit; for calls now, for other references after the next rule); a candidate in an
+    imported file (``imported``: file_path, target_path; the best one in the C family, else only if it is
+    the only one; an included header gives way to an implementation elsewhere for calls); in the C family the better of the first two candidates if they
     differ; a candidate whose path starts with the folder of the reference; the candidate of the best kind
     unless two tie. All groups are decided at once: the rules look only at nodes, which resolution never
     changes. Candidates are ranked per distinct name, at most ``candidates`` each, before they meet groups.
@@ -161,6 +163,14 @@ def resolve_groups(refs: DataFrame, nodes: DataFrame, imported: DataFrame | None
         pairs = pairs.join(links, (F.col("file_path") == F.col("i_path")) & (F.col("c_path") == F.col("i_target")), "left").withColumn(
             "is_imported", F.coalesce("is_imported", F.lit(False))
         )
+    if units is None:
+        pairs = pairs.withColumn("built", F.lit(False)).withColumn("dir_rank", F.lit(None).cast("int"))
+    else:
+        made = units.select(F.col("file_path").alias("u_path"), F.lit(True).alias("built")).distinct()
+        own = units.groupBy(F.col("file_path").alias("o_path")).agg(F.min("include_dirs").alias("dirs"))
+        pairs = pairs.join(made, F.col("c_path") == F.col("u_path"), "left").join(own, F.col("file_path") == F.col("o_path"), "left")
+        below = F.array_position(F.transform("dirs", lambda d: F.col("c_path").startswith(d)), True)
+        pairs = pairs.withColumn("built", F.coalesce("built", F.lit(False))).withColumn("dir_rank", F.when(below > 0, below.cast("int")))
     call = F.col("reference_kind").isin(*CALL_KINDS)
     implementation = F.col("kind").isin("function", "method") & ~is_header(F.col("c_path"))
     c_family = F.col("language").isin(*C_FAMILY)
@@ -177,6 +187,8 @@ def resolve_groups(refs: DataFrame, nodes: DataFrame, imported: DataFrame | None
         F.when(call & implementation, 0).otherwise(1).alias("impl_rank"),
         header_preference(F.col("c_path")).alias("header_rank"),
         ((folder != "") & F.col("c_path").startswith(folder)).alias("near"),
+        (c_family & F.col("built")).alias("built"),
+        F.when(c_family, F.col("dir_rank")).alias("dir_rank"),
     )
     order = F.struct("impl_rank", "header_rank", (-F.col("score")).alias("neg"), "c_path", "start_line", "id")
     usable = F.col("is_imported") & ~(c_family & call & F.col("some_impl") & ~F.col("is_impl"))
@@ -190,6 +202,8 @@ def resolve_groups(refs: DataFrame, nodes: DataFrame, imported: DataFrame | None
         F.count(F.when(usable, 1)).alias("n_imported"),
         F.sort_array(F.collect_list(F.when(solid, order))).alias("c_order"),  # at most ``candidates`` entries
         F.min(F.when(F.col("near"), F.struct("spot", "id"))).alias("best_near"),
+        F.min(F.when(F.col("built"), F.struct("spot", "id"))).alias("best_built"),
+        F.min(F.when(F.col("dir_rank").isNotNull(), F.struct("dir_rank", "spot", "id"))).alias("best_below"),
         F.max("score").alias("top_score"),
         F.max_by(F.col("id"), F.struct("score", -F.col("spot"))).alias("top_id"),
         F.sort_array(F.collect_list("score"), False).alias("scores"),
@@ -201,11 +215,14 @@ def resolve_groups(refs: DataFrame, nodes: DataFrame, imported: DataFrame | None
     joined = base.join(same, (F.col("reference_name") == F.col("s_name")) & (F.col("file_path") == F.col("s_path")), "left").join(decided, gkey, "left")
     live = ~F.col("is_builtin") & F.col("possible")
     imports = F.when(c_family | (F.col("n_imported") == 1), F.col("best_import.id"))
+    in_build = F.coalesce(F.col("best_built.id"), F.col("best_below.id"))
     unique_top = F.when(F.coalesce(F.get("scores", F.lit(1)), F.lit(-1)) != F.col("top_score"), F.col("top_id"))
     rules = [
         ("same_file", F.col("same_id")),
         ("only_candidate", F.when(F.col("n_candidates") == 1, F.col("only_id"))),
+        ("build", F.when(call, in_build)),
         ("imported_file", imports),
+        ("build", F.when(~call, in_build)),
         ("platform", F.when(c_family, platform)),
         ("same_folder", F.col("best_near.id")),
         ("kind", unique_top),
@@ -244,11 +261,20 @@ def retarget_edges(edges: DataFrame, nodes: DataFrame, resolved: DataFrame) -> D
     )
 
 
-def imported_files(nodes: DataFrame, files: DataFrame) -> DataFrame:
+def folded(path: Column) -> Column:
+    """A path without ``./`` and with up to eight ``folder/../`` taken out."""
+    path = F.regexp_replace(path, r"(^|/)(?:\./)+", "$1")
+    for _ in range(8):
+        path = F.regexp_replace(path, r"(^|/)(?!\.\.?/)[^/]+/\.\./", "$1")
+    return path
+
+
+def imported_files(nodes: DataFrame, files: DataFrame, units: DataFrame | None = None) -> DataFrame:
     """(file_path, target_path): files that the import symbols of a file may mean, by language and extension.
 
     A relative import starts in the file's own folder, a Python module's dots are folders, any other path is
-    taken as it stands; only paths in ``files`` count."""
+    taken as it stands; with ``units`` of a build database an include is also looked for in the folder of its file
+    (unless in angle brackets), the unit's folder and its include folders. Only paths in ``files`` count."""
     imports = nodes.filter(F.col("kind") == "import").select("file_path", "language", F.explode(F.array("name", "signature")).alias("text"))
     text = F.trim("text")
     quoted = F.coalesce(F.nullif(F.regexp_extract(text, r"[\"']([^\"']*)[\"'][^\"']*$", 1), F.lit("")), F.lit(None))
@@ -270,7 +296,15 @@ def imported_files(nodes: DataFrame, files: DataFrame) -> DataFrame:
         .when(F.col("language").isin(*C_FAMILY), F.array(*map(F.lit, ["", ".h", ".hpp", ".c", ".cpp"])))
         .otherwise(F.array(F.lit("")))
     )
-    tries = found.select("file_path", base.alias("base"), F.explode(endings).alias("ending")).select("file_path", F.concat("base", "ending").alias("target_path"))
+    tries = found.select("file_path", folded(base).alias("base"), F.explode(endings).alias("ending")).select("file_path", F.concat("base", "ending").alias("target_path"))
+    if units is not None:
+        own = units.groupBy(F.col("file_path").alias("u_path")).agg(F.min("directory").alias("directory"), F.min("include_dirs").alias("dirs"))
+        angled = imports.filter(text.contains("<")).select("file_path", path.alias("path"), F.lit(True).alias("angled")).distinct()
+        include = found.filter(F.col("language").isin(*C_FAMILY)).join(angled, ["file_path", "path"], "left").join(own, F.col("file_path") == F.col("u_path"))
+        bases = F.concat(F.when(F.col("angled").isNull(), F.array(folder)).otherwise(F.array().cast("array<string>")), F.array("directory"), "dirs")
+        spots = include.select("file_path", "path", F.explode(F.filter(bases, lambda b: b.isNotNull())).alias("at"))
+        joined = F.when((F.col("at") == "") | F.col("path").startswith("/"), F.col("path")).otherwise(F.concat_ws("/", F.regexp_replace("at", "/+$", ""), "path"))
+        tries = tries.unionByName(spots.select("file_path", folded(joined).alias("target_path")))
     # a header is also found by its base name wherever it lies
     header = found.filter(F.col("language").isin(*C_FAMILY)).select("file_path", F.regexp_extract("path", r"([^/\\]+)$", 1).alias("h_name"))
     known = files.select(F.col("path").alias("target_path")).distinct()

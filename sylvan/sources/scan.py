@@ -161,7 +161,7 @@ def include_dirs(arguments: list[str], directory: str, root: str = "") -> list[s
 
 
 def compile_units(spark: SparkSession, path: str, root: str = "") -> DataFrame:
-    """(file_path, directory, include_dirs) of a compile_commands.json."""
+    """(file_path, directory, include_dirs) of a compile_commands.json, all relative to ``root`` where below it."""
     schema = "directory string, file string, command string, arguments array<string>"
     raw = spark.read.schema(schema).option("multiLine", "true").json(path)
 
@@ -172,7 +172,8 @@ def compile_units(spark: SparkSession, path: str, root: str = "") -> DataFrame:
     file = F.when(F.col("file").startswith("/"), F.col("file")).otherwise(F.concat_ws("/", "directory", "file"))
     base = root.rstrip("/") + "/" if root else ""
     relative = F.when(file.startswith(base), F.substr(file, F.lit(len(base) + 1))).otherwise(file) if base else file
-    return raw.select(relative.alias("file_path"), "directory", unit("directory", "command", "arguments").alias("include_dirs"))
+    inside = F.when(F.concat("directory", F.lit("/")).startswith(base), F.substr("directory", F.lit(len(base) + 1))).otherwise(F.col("directory")) if base else F.col("directory")
+    return raw.select(relative.alias("file_path"), inside.alias("directory"), unit("directory", "command", "arguments").alias("include_dirs"))
 
 
 def find_compile_commands(root: str) -> str | None:
