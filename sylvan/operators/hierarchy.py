@@ -323,15 +323,15 @@ def ancestor_pairs(tree: DataFrame) -> DataFrame:
     )
 
 
-def descendants_of(tree: DataFrame, wanted: DataFrame) -> DataFrame:
+def descendants_of(tree: DataFrame, wanted: DataFrame, bucket: int = 4096) -> DataFrame:
     """(ancestor, node) for each id in ``wanted`` (column node): one preorder interval per ancestor.
 
-    Joined on the root, so that only nodes of the same tree meet."""
-    ask = wanted.select("node").distinct().join(tree, "node").select(
-        F.col("node").alias("ancestor"), "root", F.col("pre").alias("low"), F.col("last").alias("high")
-    )
-    return (
-        tree.join(ask, "root")
-        .filter((F.col("pre") > F.col("low")) & (F.col("pre") <= F.col("high")))
-        .select("ancestor", "node")
-    )
+    An interval is cut at multiples of ``bucket``; the pieces meet the nodes of their root and bucket only. A
+    piece that fills its bucket takes all of it and the at most two others are compared, so that nothing is
+    tried beyond two buckets an ancestor that is not in the result, however large the tree."""
+    ask = wanted.select("node").distinct().join(tree.filter(F.col("status") == "tree"), "node").filter(F.col("last") > F.col("pre"))
+    low, high = F.col("pre") + 1, F.col("last")
+    ask = ask.select(F.col("node").alias("ancestor"), "root", low.alias("low"), high.alias("high"))
+    pieces = ask.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") / bucket), F.floor(F.col("high") / bucket))))
+    nodes = tree.filter(F.col("status") == "tree").select("node", "root", "pre", F.floor(F.col("pre") / bucket).alias("cell"))
+    return nodes.join(pieces, ["root", "cell"]).filter((F.col("pre") >= F.col("low")) & (F.col("pre") <= F.col("high"))).select("ancestor", "node")

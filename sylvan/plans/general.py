@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylvan.operators.dense_agg import dense_key_stats
-from sylvan.operators.hierarchy import ancestor_pairs, contains_links, hierarchy
+from sylvan.operators.hierarchy import ancestor_pairs, contains_links, descendants_of, hierarchy
 from sylvan.session import spread
+from sylvan.staging import Staging
 from sylvan.tables import latest, read
 
 DEEP = 6
@@ -46,6 +47,19 @@ def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p1_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """The compact form of all descendants: those of a node are the rows of its tree with ``pre`` in (pre, last]."""
+    tree = _tree(spark, d, paths=False).filter(F.col("status") == "tree")
+    return tree.select(F.col("node").alias("node_id"), F.col("root").alias("top_id"), "pre", "last", F.col("chain").alias("chain_id"), "chain_pos")
+
+
+def p1_subtree_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Number of descendants of each node that has some, counted over its interval."""
+    tree = Staging(spark, "tree").put(_tree(spark, d, paths=False), "tree")
+    found = descendants_of(tree, tree.select("node"), 64)
+    return found.groupBy(F.col("ancestor").alias("node_id")).agg(F.count("*").alias("n_descendants"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     edges = read(spark, d, "edges")
     stats = dense_key_stats(spread(edges.select("target", "kind", "line")), ["target", "kind"], None, "line")
@@ -62,6 +76,8 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_hierarchy": p1_hierarchy,
     "p1_descendants": p1_descendants,
+    "p1_intervals": p1_intervals,
+    "p1_subtree_sizes": p1_subtree_sizes,
     "p5_found": p5_found,
     "p5_key_stats": p5_key_stats,
 }
@@ -106,6 +122,8 @@ SELECT w.node, l.parent, CASE WHEN r.node IS NULL THEN 'below_cycle' ELSE 'cycle
 FROM low w JOIN links l ON l.child = w.node LEFT JOIN ring r ON r.node = w.node""",
     "p1_descendants": f"""WITH RECURSIVE {_LINKS}, {_UP}
 SELECT ancestor AS ancestor_id, node AS node_id, distance FROM anc""",
+    "p1_subtree_sizes": f"""WITH RECURSIVE {_LINKS}, {_UP}
+SELECT ancestor AS node_id, count(*) AS n_descendants FROM anc GROUP BY ancestor""",
     "p5_found": """SELECT target, kind FROM edges GROUP BY target, kind HAVING count(*) * 100 >= (SELECT count(*) FROM edges)""",
     "p5_key_stats": """SELECT target, kind, count(*) AS n_rows, count(DISTINCT source) AS n_sources, min(line) AS first_line, max(line) AS last_line
 FROM edges GROUP BY target, kind""",

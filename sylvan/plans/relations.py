@@ -69,6 +69,7 @@ QUERIES = {
     "callees_by_source_name": lambda s, d: graph.callees(nodes(s, d), edges(s, d), by_name=True),
     "references_to": lambda s, d: graph.references_to(nodes(s, d), edges(s, d)),
     "call_graph": lambda s, d: graph.call_graph(nodes(s, d), edges(s, d), nodes(s, d)),
+    "call_graph_all": lambda s, d: graph.call_graph(nodes(s, d), edges(s, d), nodes(s, d)),
     "uncalled_functions": lambda s, d: graph.uncalled_functions(nodes(s, d), edges(s, d)),
     "fan_in": fan_in,
     "fan_in_topk": lambda s, d: graph.degree(edges(s, d), "target"),
@@ -167,6 +168,7 @@ SQL = {
     "references_to": f"WITH {CUR}, {_KEYS} {_linked("'references', 'imports', 'instantiates'", 'id', 'referrer_id')}",
     "call_graph": f"""WITH {CUR}, {_KEYS}, {_DIRECT} SELECT caller AS id, callee_id FROM direct WHERE caller IN (SELECT id FROM cur WHERE kind = 'method')
 QUALIFY row_number() OVER (PARTITION BY caller ORDER BY callee_id) <= 100""",
+    "call_graph_all": f"""WITH {CUR}, {_KEYS}, {_DIRECT} SELECT caller AS id, callee_id FROM direct QUALIFY row_number() OVER (PARTITION BY caller ORDER BY callee_id) <= 100""",
     "uncalled_functions": f"""WITH {CUR} SELECT id, name, file_path, start_line FROM cur n WHERE kind = 'function' AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.kind = 'calls' AND e.target = n.id)
 AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.kind = 'calls' AND e.target = n.name)""",
     "fan_in": f"WITH {CUR}, {_KEYS}, c AS ({_CALLS}) SELECT id, least(count(DISTINCT caller_id), 25) AS fan_in FROM c GROUP BY id",

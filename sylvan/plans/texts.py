@@ -115,14 +115,15 @@ QUERIES = {
     "sync_requeue": requeued,
     "sync_replace": replaced,
     "stream_sync_latest": streamed_files,
-    "stream_change_windows": lambda s, d: changes.change_windows(read(s, d, "events")),
-    "stream_sessions": lambda s, d: changes.edit_sessions(read(s, d, "events")),
+    "stream_change_windows": lambda s, d: changes.run_complete(changes.change_windows(changes.file_stream(s, d, "events")), "windows"),
+    "stream_sessions": lambda s, d: changes.run_complete(changes.edit_sessions(changes.file_stream(s, d, "events")), "sessions"),
     "hybrid_exact": lambda s, d: scored(hybrid.exact_arm(nodes(s, d), T)),
     "hybrid_like": lambda s, d: scored(hybrid.like_arm(nodes(s, d), T)),
     "hybrid_prefix": lambda s, d: scored(hybrid.prefix_arm(nodes(s, d), T)),
     "hybrid_compound": lambda s, d: scored(hybrid.compound_arm(nodes(s, d), T)),
     "hybrid_content": lambda s, d: scored(hybrid.content_arm(nodes(s, d), read(s, d, "file_contents"), T)),
     "hybrid_search": lambda s, d: hybrid.hybrid_search(nodes(s, d), read(s, d, "file_contents"), TASK),
+    "hybrid_search_all": lambda s, d: hybrid.hybrid_search(nodes(s, d), read(s, d, "file_contents"), TASK),
     "explore_by_file": explore_by_file,
     "file_diversity_cap": capped,
     "non_prod_cap": uncommon,
@@ -238,6 +239,11 @@ b AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDE
 UNION ALL SELECT *, 'prefix' FROM a_prefix UNION ALL SELECT *, 'compound' FROM a_compound) GROUP BY id),
 boost AS (SELECT f.id, h.name, h.file_path, h.start_line, f.arm, CASE WHEN h.hits >= 2 THEN f.score * (1 + 0.35 * h.hits) ELSE f.score * 0.62 END AS score FROM fused f JOIN hits h ON h.id = f.id),
 named AS (SELECT file_path, count(DISTINCT lower(name)) AS k FROM boost WHERE lower(name) IN ({', '.join(f"'{x.lower()}'" for x in T.symbols)}) GROUP BY file_path)
+SELECT b.id, b.name, b.file_path, b.start_line, round(b.score + CASE WHEN n.k >= 2 THEN 20 * (n.k - 1) ELSE 0 END, 4) AS score, b.arm FROM boost b LEFT JOIN named n ON n.file_path = b.file_path ORDER BY score DESC, b.id LIMIT 20""",
+    "hybrid_search_all": f"""WITH {_ARMS}, {CONTENT_SQL}, fused AS (SELECT id, max(score) AS score, arg_max(arm, (score, arm)) AS arm FROM (SELECT *, 'exact' AS arm FROM a_exact UNION ALL SELECT *, 'like' FROM a_like
+UNION ALL SELECT *, 'prefix' FROM a_prefix UNION ALL SELECT *, 'compound' FROM a_compound UNION ALL SELECT *, 'content' FROM a_content) GROUP BY id),
+boost AS (SELECT f.id, h.name, h.file_path, h.start_line, f.arm, CASE WHEN h.hits >= 2 THEN f.score * (1 + 0.35 * h.hits) ELSE f.score * 0.62 END AS score FROM fused f JOIN hits h ON h.id = f.id),
+named AS (SELECT file_path, count(DISTINCT lower(name)) AS k FROM boost WHERE lower(name) IN ({', '.join(f"'{x.lower()}'" for x in T.symbols)}) GROUP BY file_path)
 SELECT b.id, b.name, b.file_path, b.start_line, round(b.score + CASE WHEN n.k >= 2 THEN 20 * (n.k - 1) ELSE 0 END, 4) AS score, b.arm FROM boost b LEFT JOIN named n ON n.file_path = b.file_path ORDER BY score DESC, b.id LIMIT 20""",
     "explore_by_file": f"WITH {_ARMS} SELECT file_path, count(*) AS n_symbols, sum(hits)::BIGINT AS n_hits, min(start_line) AS first_line FROM hits WHERE kind NOT IN ({_LOW}) AND hits >= 2 GROUP BY file_path",
     "file_diversity_cap": f"WITH {CUR} {_CAP}",

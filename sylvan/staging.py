@@ -11,6 +11,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
@@ -31,10 +33,25 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _LOCAL[app]
 
 
+_OPEN: list[list[Staging]] = []
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Whatever is staged inside is removed at the end: for applications that live long. DataFrames made inside
+    must have been used or written by then."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for st in _OPEN.pop():
+            st.clear()
+
+
 class Staging:
     """Writes DataFrames to the shared folder and removes those no longer needed.
 
-    Tables still reachable from a returned DataFrame stay until the session's process ends.
+    Tables still reachable from a returned DataFrame stay until the enclosing ``scope`` or the process ends.
     """
 
     def __init__(self, spark: SparkSession, label: str):
@@ -42,7 +59,10 @@ class Staging:
         self.base = f"{shared_folder(spark)}/sylvan-{label}-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
         self.count = 0
-        atexit.register(self.clear)
+        if _OPEN:
+            _OPEN[-1].append(self)
+        else:
+            atexit.register(self.clear)
 
     def put(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
         """Writes a table and reads it back; with ``by`` in a folder for each value of that column."""

@@ -105,3 +105,23 @@ def test_links_by_id_before_qualified_name_and_extra_columns(spark, nodes_df, ed
         ]
     ).withColumn("parent", F.lit("y"))
     assert {tuple(r) for r in contains_links(nodes, edges).collect()} == {("2", "1")}
+
+
+def test_descendants_by_pieces_of_intervals(spark):
+    """Every bucket width gives the descendants that walking gives; a node without children has none."""
+    from sylvan.operators.hierarchy import descendants_of, hierarchy
+
+    parent = {i: (i - 1) // 3 for i in range(1, 60)} | {100: 101, 101: 100}
+    names = sorted({str(i) for i in range(60)} | {"100", "101"})
+    links = spark.createDataFrame([(str(c), str(p)) for c, p in parent.items()], "child string, parent string")
+    tree = hierarchy(links, spark.createDataFrame([(n, n) for n in names], "node string, label string"), paths=False).persist()
+
+    def below(p):
+        kids = [c for c, q in parent.items() if q == p]
+        return {str(c) for c in kids} | {x for c in kids for x in below(c)}
+
+    want = {("0", n) for n in below(0)} | {("1", n) for n in below(1)} | {("7", n) for n in below(7)}
+    ask = spark.createDataFrame([("0",), ("1",), ("7",), ("59",), ("100",), ("gone",), ("1",)], "node string")
+    for width in (1, 4, 4096):
+        assert {tuple(r) for r in descendants_of(tree, ask, width).collect()} == want
+    tree.unpersist()

@@ -56,3 +56,39 @@ def test_query_equals_its_sql(spark, name):
     norm = lambda df: sorted(str([plain(v) for v in row]) for row in df[sorted(df.columns)].values.tolist())
     assert sorted(got.columns) == sorted(want.columns)
     assert norm(got) == norm(want)
+
+
+def test_a_feed_goes_on_after_a_restart(spark, tmp_path):
+    """Two runs over one growing folder with a durable snapshot equal one run over all of it."""
+    from sylvan.staging import scope
+    from sylvan.streaming.changes import Book, apply_feed
+
+    schema, source, at = "k string, v bigint, text string", str(tmp_path / "in"), "file://" + str(tmp_path / "snap")
+
+    def feed():
+        return spark.readStream.schema(schema).parquet(source)
+
+    first = [(f"k{i % 7}", i, f"a{i}") for i in range(20)] + [(None, 99, "none")]
+    spark.createDataFrame(first, schema).write.parquet(source)
+    one = {r["k"]: r["v"] for r in apply_feed(feed(), "k", "v", at=at, buckets=4).collect()}
+    assert one == {f"k{i}": max(j for j in range(20) if j % 7 == i) for i in range(7)}
+    spark.createDataFrame([("k1", 3, "late"), ("k2", 50, "new"), ("k9", 1, "fresh")], schema).write.mode("append").parquet(source)
+    with scope():
+        got = {r["k"]: r["text"] for r in apply_feed(feed(), "k", "v", at=at, buckets=4).collect()}
+    want = {r[0]: r[2] for r in sorted([r for r in first if r[0]], key=lambda r: r[1])} | {"k2": "new", "k9": "fresh"}
+    assert got == want
+    before = Book(spark, at).read()
+    assert {r["k"] for r in apply_feed(feed(), "k", "v", at=at, buckets=4).collect()} == set(want) and Book(spark, at).read()["buckets"] == before["buckets"]
+
+
+def test_scope_removes_what_it_staged(spark):
+    import os
+
+    from sylvan.staging import Staging, scope
+
+    with scope():
+        st = Staging(spark, "scoped")
+        st.put(spark.range(3), "rows")
+        folder = st.base.removeprefix("file://")
+        assert os.path.isdir(folder)
+    assert not os.path.exists(folder)
