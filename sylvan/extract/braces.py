@@ -48,6 +48,7 @@ C = [
     ("struct", P(r"(?P<pre>(?:typedef\s+)?)\b(?:struct|union)\s*(?P<name>\w*)(?P<head>[^{;()=]*)\{")),
     ("enum", P(r"(?P<pre>(?:typedef\s+)?)\benum\s*(?:class\s+|struct\s+)?(?P<name>\w*)[^{;()]*\{")),
     ("function", P(r"^(?P<pre>[ \t]*(?:[A-Za-z_][\w:<>,]*[\s*&]+)*)(?P<name>(?:\w+::)*~?\w+|operator\s*[^\s(]+)[ \t]*\((?=[^;{}()]*(?:\([^;{}()]*\)[^;{}()]*)*\)[^;{}=]*\{)")),
+    ("function", P(r"^(?P<pre>(?:[A-Za-z_]\w*[\s*]+)*)(?P<name>\w+)[ \t]*\((?=\s*(?:\w+\s*(?:,\s*\w+\s*)*)?\)\s*(?:(?:[A-Za-z_]\w*[\s*]+)+[\w\s*,\[\]]+;\s*)+\{)")),  # parameters declared in the old style
     ("prototype", P(r"^(?P<pre>[ \t]*(?:[A-Za-z_][\w:<>,]*[\s*&]+)*)(?P<name>~?\w+)[ \t]*\((?=[^;{}()]*(?:\([^;{}()]*\)[^;{}()]*)*\)\s*(?:const|noexcept|override|final|=\s*\w+|\s)*;)")),
 ]
 C_FIELD = P(r"(?<=[;{\n])[ \t]*(?:[A-Za-z_][\w:<>,]*[\s*&]+)+(?:\(\s*\*\s*)?(?P<name>\w+)\s*(?:\)\s*\([^;]*\))?\s*(?:\[[^\]]*\]|:\s*\d+)?\s*(?:=[^;{}]*)?;")
@@ -66,6 +67,9 @@ def extract(path: str, text: str, language: str) -> Result:
     c_family = language in ("c", "cpp", "esqlc")
     if c_family:
         directives(out, text, lines)
+        if language == "esqlc":
+            code = re.sub(r"^[ \t]*##", lambda m: " " * len(m.group()), code, flags=re.M)  # lines handed to the SQL preprocessor
+        code = one_branch(code)
         code = re.sub(r"^[ \t]*#(?:[^\n]*\\\n)*[^\n]*", lambda m: re.sub(r"[^\n]", " ", m.group()), code, flags=re.M)
         code = re.sub(r"\bEXEC\s+SQL\b[^;]*;", lambda m: re.sub(r"[^\n]", " ", m.group()), code, flags=re.I)
     rules = SCRIPT if script else GO if language == "go" else RUST if language == "rust" else (CPP if language == "cpp" else []) + C
@@ -110,6 +114,25 @@ def extract(path: str, text: str, language: str) -> Result:
     return out
 
 
+def one_branch(code: str) -> str:
+    """The code with braces blanked in all branches of a conditional but the first, offsets unchanged: each
+    branch may open the same block."""
+    stack: list[bool] = []  # per open #if whether a later branch has begun
+    out, at = [], 0
+    for m in re.finditer(r"^[ \t]*#[ \t]*(if|ifdef|ifndef|elif|else|endif)\b[^\n]*", code, re.M):
+        piece = code[at : m.start()]
+        out += [re.sub(r"[{}]", " ", piece) if any(stack) else piece, m.group()]
+        at = m.end()
+        if m[1].startswith("if"):
+            stack.append(False)
+        elif m[1] == "endif":
+            if stack:
+                stack.pop()
+        elif stack:
+            stack[-1] = True
+    return "".join([*out, code[at:]])
+
+
 def depth_in(code: str, holder: Symbol, at: int) -> int:
     body = code.find("{", holder.offset)
     return code.count("{", body, at) - code.count("}", body, at)
@@ -168,6 +191,8 @@ def declare(out, text, code, lines, at, end, kind, m, language) -> None:
         paren = code.rfind("(", m.start(), end) if script else end - 1
         after = closing(code, paren) if paren >= 0 and code[paren] == "(" else end
         body, semi = code.find("{", after), code.find(";", after)
+        if language in ("c", "esqlc") and 0 <= semi < body and re.fullmatch(r"\)(?:\s*(?:[A-Za-z_]\w*[\s*]+)+[\w\s*,\[\]]+;)+\s*", code[after:body]):
+            semi = -1  # declarations of parameters in the old style
         arrow = script and "=" in m.group()
         if arrow:
             body = code.find("{", end) if code[end : end + 80].lstrip().startswith("{") or m.group().rstrip().endswith("(") else -1

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -50,11 +50,22 @@ def bind_names(nodes: DataFrame, names: DataFrame, name: str = "name", candidate
     )
 
 
+LINE_BUCKET = 256
+
+
+def _line_buckets(start: Column, end: Column) -> Column:
+    """A row for each run of ``LINE_BUCKET`` lines that a range touches: ranges of one file then meet only those
+    places that lie in the same run, however long the file is."""
+    high = F.greatest(start, end)
+    return F.explode(F.sequence(F.floor(start / LINE_BUCKET), F.floor(high / LINE_BUCKET)))
+
+
 def innermost_at(nodes: DataFrame, points: DataFrame) -> DataFrame:
     """The tightest symbol around each (file_path, line, col): fewest lines, then the latest start.
 
-    A range join kept to single files by the equality on the path; points outside any symbol give no row."""
-    spans = nodes.select("id", "name", "kind", "file_path", "start_line", "end_line", "start_column", "end_column")
+    A range join kept to runs of lines of single files; points outside any symbol give no row."""
+    spans = nodes.select("id", "name", "kind", "file_path", "start_line", "end_line", "start_column", "end_column").filter(F.col("end_line") >= F.col("start_line"))
+    spans = spans.withColumn("cell", _line_buckets(F.col("start_line"), F.col("end_line")))
     p = points.select(F.col("file_path").alias("p_path"), "line", "col").filter(F.col("line").isNotNull() & F.col("col").isNotNull()).distinct()
     inside = (
         (F.col("start_line") <= F.col("line"))
@@ -64,7 +75,8 @@ def innermost_at(nodes: DataFrame, points: DataFrame) -> DataFrame:
     )
     order = W.partitionBy("p_path", "line", "col").orderBy(F.col("end_line") - F.col("start_line"), F.desc("start_line"), F.desc("start_column"), "id")
     return (
-        p.join(spans, F.col("p_path") == F.col("file_path"))
+        p.withColumn("p_cell", F.floor(F.col("line") / LINE_BUCKET))
+        .join(spans, (F.col("p_path") == F.col("file_path")) & (F.col("p_cell") == F.col("cell")))
         .filter(inside)
         .withColumn("rank", F.row_number().over(order))
         .filter("rank = 1")
@@ -77,12 +89,14 @@ def enclosing_parent(nodes: DataFrame, kinds: tuple[str, ...] | None = None) ->
     containers): the parent in an outline."""
     child = nodes.select("id", "file_path", F.col("start_line").alias("s"), F.col("end_line").alias("e"))
     outer = nodes if kinds is None else nodes.filter(F.col("kind").isin(*kinds))
-    outer = outer.select(F.col("id").alias("parent_id"), F.col("file_path").alias("o_path"), "start_line", "end_line")
+    outer = outer.select(F.col("id").alias("parent_id"), F.col("file_path").alias("o_path"), "start_line", "end_line").filter(F.col("end_line") > F.col("start_line"))
+    outer = outer.withColumn("cell", _line_buckets(F.col("start_line"), F.col("end_line")))  # one holds the child's first line
+    child = child.withColumn("c_cell", F.floor(F.col("s") / LINE_BUCKET))
     width = F.col("end_line") - F.col("start_line")
     holds = (F.col("start_line") <= F.col("s")) & (F.col("end_line") >= F.col("e")) & (width > F.col("e") - F.col("s"))
     order = W.partitionBy("id").orderBy(width, F.desc("start_line"), "parent_id")
     return (
-        child.join(outer, (F.col("file_path") == F.col("o_path")) & holds)
+        child.join(outer, (F.col("file_path") == F.col("o_path")) & (F.col("c_cell") == F.col("cell")) & holds)
         .withColumn("rank", F.row_number().over(order))
         .filter("rank = 1")
         .select("id", "parent_id")
