@@ -9,12 +9,13 @@ from sylvan.functions import columns as C
 from sylvan.functions import kinds as K
 from sylvan.functions.terms import STOP_WORDS
 from sylvan.operators import export, search
-from sylvan.tables import current_files, current_nodes, read
+from sylvan.tables import NODES, current_files, current_nodes, read
 
 CUR = "cur AS (SELECT * FROM nodes WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) = 1)"
 CURF = "curf AS (SELECT * FROM files WHERE path IS NOT NULL QUALIFY row_number() OVER (PARTITION BY path ORDER BY indexed_at DESC) = 1)"
 BASE = "regexp_extract(lower({0}), '([^/]*)$', 1)"
 TEST_SQL = f"(regexp_matches(lower({{0}}), '{C.TEST_PATH}') OR regexp_matches({BASE}, '{C.TEST_NAME}'))"
+NODE_COLUMNS = [c.split()[0] for c in NODES.split(", ")]
 SINCE = 1_750_000_000_000
 
 
@@ -193,4 +194,5 @@ regexp_matches(lower(replace(path, '\\', '/')), '{C.HEADER_PATH}') AS is_header,
 SELECT concat_ws(chr(9), {_TAG('name')}, {_TAG('file_path')}, greatest(start_line, 1)::VARCHAR || ';"', {K.case_sql(K.TAG_LETTER, 'kind', 'u')}, 'kind:' || kind, 'line:' || start_line,
 'end:' || end_line, 'language:' || {K.case_sql(K.TAG_LANGUAGE, 'language', 'Python')}, CASE WHEN coalesce(qualified_name, '') <> '' THEN 'qualified:' || {_TAG('qualified_name')} END,
 CASE WHEN coalesce(length(sig), 0) > 0 THEN 'signature:' || {_TAG('sig')} END) AS line FROM t""",
+    "nodes_json": f"""WITH {CUR} SELECT json_merge_patch('{{}}', to_json({{{', '.join(f"'{c}': {c}" for c in NODE_COLUMNS)}}}))::VARCHAR AS json FROM cur""",
 }
