@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -11,9 +12,29 @@ from pyspark.sql import functions as F
 from sylvan import tables
 from sylvan.extract.run import extract_rows, links_of, nodes_of, unresolved_of
 from sylvan.functions.columns import language_of, skipped_path
+from sylvan.functions.terms import identifier_at, parse_query
 from sylvan.operators import context, export, graph, resolve, search, sync, text_search
 from sylvan.staging import Staging
 
+def _present(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def metadata(spark: SparkSession, folder: str) -> DataFrame:
+    """(key, value) of a snapshot's metadata as last written; deleted keys are gone."""
+    path = f"{folder}/project_metadata.parquet"
+    rows = spark.read.schema(tables.METADATA).parquet(path) if _present(spark, path) else spark.createDataFrame([], tables.METADATA)
+    return tables.latest(rows, "key", "updated_at").filter(F.col("value").isNotNull()).select("key", "value")
+
+
+def put_metadata(spark: SparkSession, folder: str, values: dict[str, str | None]) -> None:
+    """Writes keys, or deletes those whose value is None: rows are appended, the newest of a key counts."""
+    now = time.time_ns() // 1000
+    rows = spark.createDataFrame([(k, v, now) for k, v in values.items()], tables.METADATA)
+    rows.coalesce(1).write.mode("append").parquet(f"{folder}/project_metadata.parquet")
+
+
 TABLES = ("nodes", "edges", "files", "file_contents", "unresolved_refs")
 
 
@@ -32,9 +53,26 @@ class Engine:
     @classmethod
     def open(cls, spark: SparkSession, folder: str) -> Engine:
         """A snapshot kept as Parquet tables; repeated and older rows of a key are set aside."""
-        t = {name: tables.read(spark, folder, name) for name in TABLES}
+        t = {name: tables.conformed(tables.read(spark, folder, name), tables.SCHEMAS[name]) for name in TABLES}
         return cls(spark, tables.current_nodes(t["nodes"]), t["edges"], tables.current_files(t["files"]), t["file_contents"], t["unresolved_refs"])
 
+    @classmethod
+    def init(cls, spark: SparkSession, folder: str) -> Engine:
+        """An empty snapshot in a folder; one that is there already stays as it is."""
+        if not _present(spark, f"{folder}/nodes.parquet"):
+            for name, schema in tables.SCHEMAS.items():
+                spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{folder}/{name}.parquet")
+            put_metadata(spark, folder, {"schema_version": str(tables.VERSION)})
+        return cls.open(spark, folder)
+
+    @classmethod
+    def update(cls, spark: SparkSession, folder: str, sources: DataFrame, force: bool = False) -> Engine:
+        """The snapshot of a folder brought up to date with a scan: changed files only, or all of them with ``force``
+        or where there is none. The caller saves it, beside the old one."""
+        if force or not _present(spark, f"{folder}/nodes.parquet"):
+            return cls.index(spark, sources)
+        return cls.open(spark, folder).sync(sources)
+
     @classmethod
     def index(cls, spark: SparkSession, sources: DataFrame, resolve_refs: bool = True, units: DataFrame | None = None, progress: Callable[[str, dict[str, int]], None] | None = None) -> Engine:
         """Extracts (path, content, language[, size, modified_at]) into a new snapshot and resolves references, with
@@ -148,6 +186,23 @@ class Engine:
     def search(self, pattern: str, kind: str | None = None, limit: int = 10) -> DataFrame:
         return search.search_symbols(self.nodes, pattern, kind, limit)
 
+    def find(self, query: str, limit: int = 20) -> DataFrame:
+        """Search by words with ``kind:`` and ``file:`` filters: names that begin with the first word, of files whose
+        path holds the filter and symbols that hold the other words."""
+        kind, file, words = parse_query(query)
+        some = self.nodes if file is None else self.nodes.filter(F.lower("file_path").contains(file.lower()))
+        for w in words[1:]:
+            some = some.filter(F.lower(F.concat_ws(" ", "name", "qualified_name", "signature")).contains(w.lower()))
+        return search.search_symbols(some, words[0] if words else "", kind, limit)
+
+    def definition(self, path: str, line: int, column: int) -> DataFrame:
+        """Symbols that the identifier at a place (line from 1, column from 0) may mean, best first."""
+        text = self.file_contents.filter(F.col("path") == path).select(F.get(F.split("content", "\n"), F.lit(line - 1)).alias("row")).first()
+        name = identifier_at(text["row"] or "", column) if text else None
+        wanted = self.spark.createDataFrame([(name,)], "name string").filter("name is not null")
+        found = search.bind_names(self.nodes, wanted, candidates=50)
+        return found.join(self.nodes.select("id", "name", "start_line", "end_line", "signature", "docstring"), "id").orderBy("rank")
+
     def bind(self, name: str, mode: str = "exact") -> str | None:
         """Id of the symbol a name means: an equal name or qualified name, else (or with mode search) the first hit."""
         if mode == "exact":

@@ -44,6 +44,8 @@ def main(argv: list[str] | None = None) -> int:
 
     spark = build_session()
     if args.command in ("init", "index"):
+        if args.command == "init":
+            Engine.init(spark, args.snapshot)
         Engine.index(spark, scan_files(spark, args.root)).save(args.snapshot)
         return 0
     recover(args.snapshot)

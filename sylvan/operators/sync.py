@@ -6,12 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def classify(stored: DataFrame, scanned: DataFrame) -> DataFrame:
+def classify(stored: DataFrame, scanned: DataFrame, times: bool = False) -> DataFrame:
     """(path, state): added, deleted, changed or unchanged. ``stored`` has path, size, content_hash;
-    ``scanned`` has path, size, content_hash. A full outer join on the path; null-safe comparison."""
-    a = stored.select("path", F.col("size").alias("a_size"), F.col("content_hash").alias("a_hash"), F.lit(True).alias("a"))
-    b = scanned.select("path", F.col("size").alias("b_size"), F.col("content_hash").alias("b_hash"), F.lit(True).alias("b"))
-    same = F.col("a_size").eqNullSafe(F.col("b_size")) & F.col("a_hash").eqNullSafe(F.col("b_hash"))
+    ``scanned`` has path, size, content_hash. A full outer join on the path; null-safe comparison.
+    With ``times`` both have modified_at, and equal size and time pass without a look at the hash."""
+    extra = ["modified_at"] if times else []
+    a = stored.select("path", *[F.col(c).alias(f"a_{c}") for c in ["size", "content_hash", *extra]], F.lit(True).alias("a"))
+    b = scanned.select("path", *[F.col(c).alias(f"b_{c}") for c in ["size", "content_hash", *extra]], F.lit(True).alias("b"))
+    same = F.col("a_size").eqNullSafe(F.col("b_size"))
+    alike = F.col("a_content_hash").eqNullSafe(F.col("b_content_hash"))
+    same = same & ((F.col("a_modified_at") == F.col("b_modified_at")) | alike if times else alike)
+    same = F.coalesce(same, F.lit(False))
     state = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "deleted").when(same, "unchanged").otherwise("changed")
     return a.join(b, "path", "full_outer").select("path", state.alias("state"))
 

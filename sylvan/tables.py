@@ -24,6 +24,23 @@ REFS = (
 )
 
 
+METADATA = "key STRING, value STRING, updated_at BIGINT"
+SCHEMAS = {"nodes": NODES, "edges": EDGES, "files": FILES, "file_contents": CONTENTS, "unresolved_refs": REFS}
+VERSION = 1
+
+
+def conformed(df: DataFrame, schema: str) -> DataFrame:
+    """A table written under an older schema in the form of the current one: columns it lacks are null, those it
+    has under another type are cast, columns of its own stay behind the others."""
+    want = df.sparkSession.createDataFrame([], schema).schema
+    own = {f.name: f.dataType for f in df.schema}
+    columns = [
+        (F.lit(None).cast(f.dataType) if f.name not in own else F.col(f.name) if own[f.name] == f.dataType else F.col(f.name).cast(f.dataType)).alias(f.name)
+        for f in want
+    ]
+    return df.select(*columns, *[c for c in df.columns if c not in want.fieldNames()])
+
+
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
