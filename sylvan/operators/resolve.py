@@ -263,10 +263,10 @@ def retarget_edges(edges: DataFrame, nodes: DataFrame, resolved: DataFrame) -> D
 
 def folded(path: Column) -> Column:
     """A path without ``./`` and with up to eight ``folder/../`` taken out."""
-    path = F.regexp_replace(path, r"(^|/)(?:\./)+", "$1")
+    bare = F.regexp_replace(path, r"(^|/)(?:\./)+", "$1")
     for _ in range(8):
-        path = F.regexp_replace(path, r"(^|/)(?!\.\.?/)[^/]+/\.\./", "$1")
-    return path
+        bare = F.regexp_replace(bare, r"(^|/)(?!\.\.?/)[^/]+/\.\./", "$1")
+    return F.when(path.contains("./"), bare).otherwise(path)
 
 
 def imported_files(nodes: DataFrame, files: DataFrame, units: DataFrame | None = None) -> DataFrame:

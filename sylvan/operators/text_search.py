@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sylvan.functions.columns import text_lines, tokens
+from sylvan.staging import Staging
 
 K1, B = 1.2, 0.75
 
@@ -37,27 +39,30 @@ def _count(w: str, term: str) -> Column:
 def bm25(docs: DataFrame, key: str, text: str, terms: list[str]) -> DataFrame:
     """(key, score) of the documents that hold any of the terms, Okapi BM25 as SQLite's full-text search has it.
 
-    A term of several words counts where they follow each other. For given terms no index is built: their counts are taken in the scan, and document frequencies and the
-    mean length are one aggregated row."""
+    A term of several words counts where they follow each other. For given terms no index is built: one scan
+    takes their counts, keeps the documents that hold any, and while it writes these sums up the number and
+    length of all documents and how many hold each term."""
     terms = sorted(set(t.lower() for t in terms))
     w = tokens(F.coalesce(F.col(text), F.lit("")))
     counted = docs.select(key, w.alias("w")).select(
         key, F.size("w").alias("length"), *[_count("w", t).alias(f"tf{i}") for i, t in enumerate(terms)]
     )
-    facts = counted.agg(
-        F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.sum((F.col(f"tf{i}") > 0).cast("int")).alias(f"df{i}") for i in range(len(terms))]
-    )
-    score: Column = F.lit(0.0)
-    for i in range(len(terms)):
-        tf, df = F.col(f"tf{i}").cast("double"), F.col(f"df{i}").cast("double")
-        idf = F.greatest(F.log((F.col("n") - df + 0.5) / (df + 0.5)), F.lit(1e-6))
-        part = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-        score = score + F.when(tf > 0, part).otherwise(0.0)
     some = F.lit(False)
     for i in range(len(terms)):
         some = some | (F.col(f"tf{i}") > 0)
-    # facts is a single row
-    return counted.filter(some).crossJoin(F.broadcast(facts)).select(key, score.alias("score"))
+    facts = Observation()
+    sums = [F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))]
+    seen = counted.observe(facts, F.count("*").alias("n"), F.sum("length").alias("words"), *sums)
+    held = Staging(docs.sparkSession, "bm25").put(seen.filter(some), "counts")
+    known = facts.get
+    n, mean = known["n"], (known["words"] or 0) / max(1, known["n"])
+    score: Column = F.lit(0.0)
+    for i in range(len(terms)):
+        tf, df = F.col(f"tf{i}").cast("double"), known[f"df{i}"] or 0
+        idf = max(math.log((n - df + 0.5) / (df + 0.5)), 1e-6)
+        part = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / mean))
+        score = score + F.when(tf > 0, part).otherwise(0.0)
+    return held.select(key, score.alias("score"))
 
 
 def _hit_lines(docs: DataFrame, key: str, text: str, terms: list[str]) -> tuple[DataFrame, Column]:
