@@ -24,6 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sylvan.staging import Staging
 from sylvan.tables import latest
@@ -83,13 +84,28 @@ def _jump(
     root is set aside and summed at the end.
     """
     keep = [c for c in start.columns if c not in ("node", "ptr", "hops", *carry)]
-    still = F.sum((~F.col("closed")).cast("long"))
-    table, seen = st.put_counted(start.withColumn("closed", F.col("hops") == 0), f"{name}-0", "closed", left=still)
-    left = seen["left"]
-    closed, late, step = [table.filter("closed").withColumn("round", F.lit(0))], [], 0
+    counts = {"left": F.sum((~F.col("closed")).cast("long")), "done": F.sum(F.col("closed").cast("long"))}
+    folders: list[str] = []  # where rows at their root lie; one scan reads them all
+    late, step = [], 0
+
+    def advance(rows: DataFrame) -> tuple[DataFrame, int]:
+        """Writes a round; the rows still on their way and their number."""
+        rows = rows.withColumn("round", F.lit(step))
+        table, seen = st.put_counted(rows, f"{name}-{step}", "closed", **counts)
+        if seen["done"]:
+            folders.append(f"{table._sylvan_path}/closed=true")
+        return table.filter(~F.col("closed")), seen["left"]
+
+    def at_root(columns: list[str]) -> DataFrame:
+        kinds = StructType([f for f in table.schema if f.name != "closed"])
+        rows = st.spark.read.schema(kinds).parquet(*folders) if folders else st.spark.createDataFrame([], kinds)
+        return rows.withColumn("closed", F.lit(True)).select(*columns)
+
+    table, left = advance(start.withColumn("closed", F.col("hops") == 0))
     while left:
-        under_way = table.filter(~F.col("closed"))
-        every = _union([c.drop("round") for c in closed] + [under_way])
+        under_way = table
+        columns = [c for c in table.columns if c != "round"]
+        every = at_root(columns).unionByName(under_way.select(*columns))
         upper = every.select(
             F.col("node").alias("u_node"),
             F.col("ptr").alias("u_ptr"),
@@ -115,18 +131,16 @@ def _jump(
             moved = moved.join(grown, F.col("node") == F.col("g_node"), "left").withColumn("size", F.col("size") + F.coalesce("more", F.lit(0)))
             moved = moved.drop("g_node", "more")
         step += 1
-        before, (table, seen) = left, st.put_counted(moved, f"{name}-{step}", "closed", left=still)
-        left = seen["left"]
-        closed.append(table.filter("closed").withColumn("round", F.lit(step)))
+        before, (table, left) = left, advance(moved)
         if left == before:
             break
-    done = _union(closed)
+    done = at_root(table.columns)
     if late:
         owed = _union(late).join(done.select("node", "round"), F.col("g_node") == F.col("node")).filter(F.col("g_round") >= F.col("round"))
         owed = owed.groupBy("g_node").agg(F.sum("more").alias("more"))
         done = done.join(owed, F.col("node") == F.col("g_node"), "left").withColumn("size", F.col("size") + F.coalesce("more", F.lit(0)))
         done = done.drop("g_node", "more")
-    return done.drop("round", "closed"), table.filter(~F.col("closed")).drop("closed") if left else None
+    return done.drop("round", "closed"), table.drop("closed", "round") if left else None
 
 
 def _cycles(st: Staging, stuck: DataFrame) -> DataFrame:
