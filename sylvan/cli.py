@@ -8,7 +8,7 @@ import shutil
 
 from sylvan.session import build_session
 
-COMMANDS = "init index sync status ctags query files context explore callers callees references uncalled impact trace uninit".split()
+COMMANDS = "init index sync status ctags query files context explore callers callees references uncalled impact trace serve uninit".split()
 
 
 def swap(snapshot: str) -> None:
@@ -56,6 +56,13 @@ def main(argv: list[str] | None = None) -> int:
         swap(args.snapshot)
         return 0
     word = " ".join(args.words)
+    if args.command == "serve":
+        import sys
+
+        from sylvan.serve import serve
+
+        serve(engine, sys.stdin.buffer, sys.stdout.buffer, args.root)
+        return 0
     if args.command == "ctags":
         engine.write_tags(word or "tags")
         return 0
