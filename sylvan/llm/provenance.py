@@ -28,6 +28,8 @@ MANGLED_SD = 1.0
 #: share of names that stay apart once digits are folded, under which the names of a dense text come from a template
 TEMPLATE_DIVERSITY = 0.85
 NUMBERED_DIVERSITY, NUMBERED_NAMES = 0.5, 20  # outside dense layout: most names are numbered copies of others
+#: names written in another style than nearly all others of the repository and language, from so many names and files on
+FOREIGN_STYLE, FOREIGN_NAMES, FOREIGN_FILES = 0.9, 8, 10
 DENSE_LINE, MEAN_DENSE_LINE, DENSE_BLANKS = 250, 150, 0.15
 WRAPPED_LINE, WRAPPED_BLANKS = 80, 0.1  # mean line and blanks of dense text that was broken into lines
 DATA_SHARE, DATA_CHARS = 0.5, 2_000
@@ -36,7 +38,7 @@ LANGUAGES = 12  # the parsers' languages and one for all others: bounds the mode
 
 _FEATURES = (
     "path string, language string, path_evidence string, head_evidence string, diversity double, literal_share double, literal_chars bigint, "
-    "longest int, per_line double, blank_share double, odd_share double, wordy int, n_names int, snake double, camel double"
+    "longest int, per_line double, blank_share double, odd_share double, wordy int, n_names int, snake double, camel double, styled int"
 )
 #: rows of files carry features, trigrams and their counts; rows of models (null path) the weights a split adds
 _READ = _FEATURES + ", grams array<int>, times array<int>, weights array<bigint>"
@@ -68,15 +70,15 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 sums.setdefault(language, np.zeros(ALPHABET**3, np.int64))[grams] += weights(times)
             rows.append(
                 (path, language, path_evidence(path), head_evidence(head_comments(content, language)), template_diversity(f["names"]), f["literal_share"], f["literal_chars"],
-                 f["longest"], f["per_line"], f["blank_share"], f["odd_share"], f["wordy"], len(f["names"]), style.get("snake", 0.0), style.get("camel", 0.0), grams, times, None)
+                 f["longest"], f["per_line"], f["blank_share"], f["odd_share"], f["wordy"], len(f["names"]), style.get("snake", 0.0), style.get("camel", 0.0), int(style.get("n", 0)), grams, times, None)
             )
         yield pd.DataFrame(rows, columns=columns)
     models = []
     for language, total in sums.items():
         used = np.flatnonzero(total)
-        models.append((None, language, *[None] * 13, used.astype(np.int32), None, total[used]))
+        models.append((None, language, *[None] * 14, used.astype(np.int32), None, total[used]))
     out = pd.DataFrame(models, columns=columns)
-    whole = ["literal_chars", "longest", "wordy", "n_names"]
+    whole = ["literal_chars", "longest", "wordy", "n_names", "styled"]
     yield out.astype({c: "Int64" for c in whole})
 
 
@@ -126,7 +128,7 @@ def file_provenance(files: DataFrame, contents: DataFrame) -> DataFrame:
     scored = st.put(scored, "scores")
     usual = scored.filter("n_names >= 5").groupBy("language").agg(F.avg("entropy").alias("mean"), F.stddev_pop("entropy").alias("sd"))
     scored = scored.withColumn("repository", repository(F.col("path")))
-    style = scored.groupBy("repository", "language").agg(F.avg("snake").alias("repo_snake"), F.avg("camel").alias("repo_camel"))
+    style = scored.groupBy("repository", "language").agg(F.avg("snake").alias("repo_snake"), F.avg("camel").alias("repo_camel"), F.count("*").alias("repo_files"))
     scored = scored.join(F.broadcast(usual), "language", "left").join(style, ["repository", "language"])  # usual: one row per language
     far = (F.col("entropy") - F.col("mean")) / F.when(F.col("sd") > 0, F.col("sd"))
     scored = scored.withColumn("names_sd", far).withColumn(
@@ -139,6 +141,7 @@ def file_provenance(files: DataFrame, contents: DataFrame) -> DataFrame:
     mainly_data = (F.col("literal_share") >= DATA_SHARE) & (F.col("literal_chars") >= DATA_CHARS)
     mainly_data = mainly_data | (F.col("literal_share") >= ALL_DATA_SHARE) & (F.col("literal_chars") >= ALL_DATA_CHARS)
     numbered = ~dense & (F.col("diversity") < NUMBERED_DIVERSITY) & (F.col("n_names") >= NUMBERED_NAMES)
+    foreign = ~dense & (F.col("style_distance") >= FOREIGN_STYLE) & (F.col("styled") >= FOREIGN_NAMES) & (F.col("repo_files") >= FOREIGN_FILES)
     verdict = (
         F.when(F.col("head_evidence") == "copy notice", "vendored")
         .when(F.col("head_evidence") == "tool notice", "generated")
@@ -147,6 +150,7 @@ def file_provenance(files: DataFrame, contents: DataFrame) -> DataFrame:
         .when(mangled, "minified")
         .when(mainly_data, "data")
         .when(numbered, "generated")
+        .when(foreign, "vendored")
     )
     evidence = (
         F.when(F.col("head_evidence") != "", F.col("head_evidence"))
@@ -154,6 +158,7 @@ def file_provenance(files: DataFrame, contents: DataFrame) -> DataFrame:
         .when(mangled, "mangled names")
         .when(mainly_data, "mostly literals")
         .when(numbered, "template names")
+        .when(foreign, "foreign style")
     )
     return scored.select(
         "path", "repository", "language", verdict.alias("verdict"), evidence.alias("evidence"), "entropy", "names_sd", "diversity", "literal_share", "literal_chars",

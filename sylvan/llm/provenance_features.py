@@ -187,7 +187,7 @@ def weights(times: np.ndarray, unit: int = 10_000) -> np.ndarray:
 
 
 def naming_style(names: list[str]) -> dict[str, float]:
-    """Shares of snake, camel, capitalized and other names among those of two words or more."""
+    """Shares of snake, camel, capitalized and other names among those of two words or more; ``n`` is their number."""
     kinds: Counter = Counter()
     for n in names:
         if "_" in n:
@@ -196,4 +196,4 @@ def naming_style(names: list[str]) -> dict[str, float]:
             kinds["pascal" if PASCAL.match(n) else "camel" if CAMEL.match(n) else ""] += 1
     kinds.pop("", None)
     size = sum(kinds.values())
-    return {k: c / size for k, c in kinds.items()} if size else {}
+    return {"n": size} | {k: c / size for k, c in kinds.items()} if size else {}

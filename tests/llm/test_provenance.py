@@ -123,3 +123,13 @@ def test_files_that_do_not_parse(spark):
     rates = {(r["repository"], r["language"]): r["invalid_rate"] for r in rejection_rates(parsed).collect()}
     assert rates["r", "c"] == 1.0 and rates["r", "python"] == 0.0 and rates["q", "rust"] == 1.0
     assert parse_files(spark.createDataFrame([], FILES), spark.createDataFrame([], "path string, content string")).count() == 0
+
+
+def test_names_of_a_foreign_style(spark):
+    """A file in camel case in a repository of snake case is another project's, one that mixes is not."""
+    own = "".join(f"def load_item_{w}(row_{w}, next_{w}):\n    return row_{w} + next_{w}\n\n" for w in "abcdefgh")
+    other = "".join(f"def loadItem{w}(rowOf{w}, nextOf{w}):\n    return rowOf{w} + nextOf{w}\n\n" for w in "ABCDEFGH")
+    texts = {f"r/src/m{i}.py": own.replace("item", f"item{i}") for i in range(200)} | {"r/src/odd.py": other, "r/src/mixed.py": own + other, "r/src/few.py": "def loadItem(x):\n    return x\n"}
+    files = spark.createDataFrame([(p, "python", 1, 1) for p in texts], FILES)
+    got = {r["path"]: (r["verdict"], r["evidence"]) for r in file_provenance(files, spark.createDataFrame(list(texts.items()), "path string, content string")).collect() if r["verdict"]}
+    assert got == {"r/src/odd.py": ("vendored", "foreign style")}
