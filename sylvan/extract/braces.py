@@ -48,7 +48,7 @@ C = [
     ("struct", P(r"(?P<pre>(?:typedef\s+)?)\b(?:struct|union)\s*(?P<name>\w*)(?P<head>[^{;()=]*)\{")),
     ("enum", P(r"(?P<pre>(?:typedef\s+)?)\benum\s*(?:class\s+|struct\s+)?(?P<name>\w*)[^{;()]*\{")),
     ("function", P(r"^(?P<pre>[ \t]*(?:[A-Za-z_][\w:<>,]*[\s*&]+)*)(?P<name>(?:\w+::)*~?\w+|operator\s*[^\s(]+)[ \t]*\((?=[^;{}()]*(?:\([^;{}()]*\)[^;{}()]*)*\)[^;{}=]*\{)")),
-    ("function", P(r"^(?P<pre>(?:[A-Za-z_]\w*[\s*]+)*)(?P<name>\w+)[ \t]*\((?=\s*(?:\w+\s*(?:,\s*\w+\s*)*)?\)\s*(?:(?:[A-Za-z_]\w*[\s*]+)+[\w\s*,\[\]]+;\s*)+\{)")),  # parameters declared in the old style
+    ("function", P(r"^(?P<pre>(?:[A-Za-z_]\w*[\s*]+)*)(?P<name>\w+)[ \t]*\((?=\s*(?:\w+\s*(?:,\s*\w+\s*)*)?\)\s*(?:(?:[A-Za-z_]\w*+[\s*]++)++[\w\s*,\[\]]*+;\s*+)++\{)")),  # parameters declared in the old style
     ("prototype", P(r"^(?P<pre>[ \t]*(?:[A-Za-z_][\w:<>,]*[\s*&]+)*)(?P<name>~?\w+)[ \t]*\((?=[^;{}()]*(?:\([^;{}()]*\)[^;{}()]*)*\)\s*(?:const|noexcept|override|final|=\s*\w+|\s)*;)")),
 ]
 C_FIELD = P(r"(?<=[;{\n])[ \t]*(?:[A-Za-z_][\w:<>,]*[\s*&]+)+(?:\(\s*\*\s*)?(?P<name>\w+)\s*(?:\)\s*\([^;]*\))?\s*(?:\[[^\]]*\]|:\s*\d+)?\s*(?:=[^;{}]*)?;")
@@ -191,7 +191,7 @@ def declare(out, text, code, lines, at, end, kind, m, language) -> None:
         paren = code.rfind("(", m.start(), end) if script else end - 1
         after = closing(code, paren) if paren >= 0 and code[paren] == "(" else end
         body, semi = code.find("{", after), code.find(";", after)
-        if language in ("c", "esqlc") and 0 <= semi < body and re.fullmatch(r"\)(?:\s*(?:[A-Za-z_]\w*[\s*]+)+[\w\s*,\[\]]+;)+\s*", code[after:body]):
+        if language in ("c", "esqlc") and 0 <= semi < body and re.fullmatch(r"\)\s*+(?:(?:[A-Za-z_]\w*+[\s*]++)++[\w\s*,\[\]]*+;\s*+)++", code[after:body]):
             semi = -1  # declarations of parameters in the old style
         arrow = script and "=" in m.group()
         if arrow:

@@ -96,3 +96,12 @@ def test_imported_function_is_resolved_across_files_and_platforms(spark):
     assert {paths[t] for t in target if t in paths} == {"zq_unix_win/zq.c"}
     queued = {r["reference_name"] for r in engine.unresolved_refs.collect()}
     assert not queued & {"printf", "LIMIT", "helper"}
+
+
+def test_long_runs_of_words_are_read_in_linear_time():
+    import time
+
+    began = time.perf_counter()
+    extract_file("a.c", "c", "int f(a) " + "word " * 40_000 + "\n" + "x, " * 40_000 + "\n")
+    extract_file("a.c", "c", "int f(a)\nint a;\nchar b ;\n{\n  g(a);\n}\n" * 300)
+    assert time.perf_counter() - began < 20
