@@ -88,8 +88,9 @@ def extract(path: str, text: str, language: str) -> Result:
             if holder is not None and holder.kind == "class" and m["name"] not in NO_NAME and depth_in(code, holder, m.start("name")) == 1:
                 body = code.find("{", closing(code, m.end() - 1))
                 add(out, "method", m["name"], text, lines, m.start("name"), closing(code, body), holder, code, exported=False, flags=m["pre"])
+        made = {(s.name, s.start_line) for s in out.symbols if s.kind == "function"}
         for m in SCRIPT_VALUE.finditer(code):
-            if holder_of(out, m.start("name")) is None and not any(s.name == m["name"] and s.kind == "function" and s.start_line == lines.at(m.start("name"))[0] for s in out.symbols):
+            if holder_of(out, m.start("name")) is None and (m["name"], lines.at(m.start("name"))[0]) not in made:
                 kind = "constant" if m["how"] == "const" else "variable"
                 add(out, kind, m["name"], text, lines, m.start(), code.find("\n", m.end()) if "\n" in code[m.end() :] else len(code), None, code, exported="export" in m["pre"])
         imports_script(out, text, code, lines)
@@ -139,11 +140,7 @@ def depth_in(code: str, holder: Symbol, at: int) -> int:
 
 
 def holder_of(out: Result, at: int, kinds: tuple[str, ...] | None = None) -> Symbol | None:
-    best = None
-    for s in out.symbols:
-        if s.kind != "file" and s.stop and s.offset < at < s.stop and (kinds is None or s.kind in kinds) and (best is None or s.offset > best.offset):
-            best = s
-    return best
+    return out.around(at, kinds)
 
 
 def add(out, kind, name, text, lines, at, stop, holder, code, exported=False, flags="") -> Symbol:
@@ -275,12 +272,17 @@ def directives(out: Result, text: str, lines: Lines) -> None:
 
 
 def fields_c(out: Result, text: str, code: str, lines: Lines) -> None:
+    made = {(s.name, s.start_line) for s in out.symbols}
     for holder in [s for s in out.symbols if s.kind in ("struct", "class") and s.stop]:
         body = code.find("{", holder.offset)
+        depth, seen = 0, body  # braces are counted on from field to field
         for m in C_FIELD.finditer(code, body + 1, holder.stop):
-            if depth_in(code, holder, m.start("name")) == 1 and m.group().split()[0] not in NOT_TYPES and "(" not in m.group().split(m["name"])[0].replace("(*", ""):
+            depth += code.count("{", seen, m.start("name")) - code.count("}", seen, m.start("name"))
+            seen = m.start("name")
+            if depth == 1 and m.group().split()[0] not in NOT_TYPES and "(" not in m.group().split(m["name"])[0].replace("(*", ""):
                 line, col = lines.at(m.start("name"))
-                if not any(s.start_line == line and s.name == m["name"] for s in out.symbols):
+                if (m["name"], line) not in made:
+                    made.add((m["name"], line))
                     out.add("field", m["name"], line, line, holder, start_column=col, signature=" ".join(m.group().split()), offset=m.start("name"))
 
 

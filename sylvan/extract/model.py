@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field
 
 
@@ -30,6 +30,7 @@ class Symbol:
     decorators: list[str] | None = None
     offset: int = 0
     stop: int = 0
+    outer: Symbol | None = field(default=None, repr=False, compare=False)
 
 
 @dataclass
@@ -49,11 +50,39 @@ class Result:
     language: str
     symbols: list[Symbol] = field(default_factory=list)
     links: list[Link] = field(default_factory=list)
+    starts: list[int] = field(default_factory=list)  # offsets of the symbols with a body, in order
+    bodies: list[Symbol] = field(default_factory=list)
+
+    def nest(self, s: Symbol) -> None:
+        """Takes a symbol with a body into the order of bodies; those inside it that were there before become its own."""
+        s.outer = self.around(s.offset)
+        at = bisect_right(self.starts, s.offset)
+        self.starts.insert(at, s.offset)
+        self.bodies.insert(at, s)
+        for inner in self.bodies[at + 1 :]:
+            if inner.offset >= s.stop:
+                break
+            if inner.outer is s.outer and inner.stop <= s.stop:
+                inner.outer = s
+
+    def around(self, at: int, kinds: tuple[str, ...] | None = None) -> Symbol | None:
+        """The symbol with the latest start whose body holds an offset."""
+        i = bisect_left(self.starts, at) - 1
+        if i < 0:
+            return None
+        while i > 0 and self.starts[i - 1] == self.starts[i] and self.bodies[i - 1].stop > at:
+            i -= 1
+        s: Symbol | None = self.bodies[i]
+        while s is not None and not (s.stop > at and (kinds is None or s.kind in kinds)):
+            s = s.outer
+        return s
 
     def add(self, kind: str, name: str, start: int, end: int, container: Symbol | None = None, **extra) -> Symbol:
         qualified = f"{container.qualified_name}::{name}" if container is not None and container.kind != "file" else f"{self.path}#{name}"
         s = Symbol(node_id(self.path, kind, name, start), kind, name, qualified, start, end, **extra)
         self.symbols.append(s)
+        if s.stop:
+            self.nest(s)
         return s
 
     def link(self, source: Symbol | str, target: str, kind: str, line: int | None = None, col: int | None = None, **extra) -> None:

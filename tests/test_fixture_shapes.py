@@ -105,3 +105,25 @@ def test_long_runs_of_words_are_read_in_linear_time():
     extract_file("a.c", "c", "int f(a) " + "word " * 40_000 + "\n" + "x, " * 40_000 + "\n")
     extract_file("a.c", "c", "int f(a)\nint a;\nchar b ;\n{\n  g(a);\n}\n" * 300)
     assert time.perf_counter() - began < 20
+
+
+def test_many_symbols_in_one_file_are_placed_in_linear_time():
+    import time
+
+    n = 4000
+    began = time.perf_counter()
+    r = extract_file("a.js", "javascript", "".join(f"function f{i}(a) {{\n  const q = g{i}(a);\n  return q;\n}}\n" for i in range(n)))
+    assert sum(e.kind == "calls" for e in r.links) == n
+    r = extract_file("a.c", "c", "".join(f"struct s{i} {{ int a{i}; int b{i}; }};\n" for i in range(n)))
+    assert sum(s.kind == "field" for s in r.symbols) == 2 * n and time.perf_counter() - began < 10
+
+
+def test_the_innermost_body_counts():
+    from sylvan.extract.model import Result
+
+    out = Result("a", "c")
+    outer = out.add("class", "outer", 1, 9, offset=0, stop=100)
+    inner = out.add("function", "inner", 3, 4, offset=30, stop=40)
+    late = out.add("function", "late", 2, 6, offset=20, stop=60)
+    assert out.around(35) is inner and out.around(45) is late and out.around(70) is outer and out.around(101) is None
+    assert out.around(35, ("class",)) is outer and out.around(0) is None and inner.outer is late
