@@ -45,12 +45,25 @@ def references_to(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def callees(nodes: DataFrame, edges: DataFrame, by_name: bool = False) -> DataFrame:
     """(id, callee_id) of calls; with ``by_name`` calls of every node that has the same name count too."""
-    direct = linked(nodes, edges, ("calls",)).select(F.col("source_id").alias("caller"), F.col("target_id").alias("callee_id")).distinct()
-    if not by_name:
-        return direct.select(F.col("caller").alias("id"), "callee_id")
-    names = nodes.select(F.col("id").alias("caller"), "name").filter(F.col("name").isNotNull())
-    called = direct.join(names, "caller").select("name", "callee_id").distinct()
-    return nodes.select("id", "name").join(called, "name").select("id", "callee_id").distinct()
+    if by_name:
+        return _callees_by_name(nodes, edges)
+    return linked(nodes, edges, ("calls",)).select(F.col("source_id").alias("id"), F.col("target_id").alias("callee_id")).distinct()
+
+
+def _callees_by_name(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Each pair comes up once by construction, since the pairs are far more than the edges and no shuffle should hold them:
+    calls are reduced to (name, target), a callee found by id is left out where the same name calls it by name too, and an
+    id, which has one name (``nodes`` are current rows), meets the callees of that name in the last join."""
+    known = nodes.select("id", "name").distinct()  # no work on current rows, which are grouped by id
+    callers = known.filter(F.col("name").isNotNull())
+    calls = edges.filter(F.col("kind") == "calls").select("source", "target")
+    calls = calls.join(callers.select(F.col("id").alias("source"), F.col("name").alias("caller")), "source").select("caller", "target").distinct()
+    found = known.select(F.col("id").alias("callee_id"), F.col("name").alias("callee"))
+    by_id = calls.join(found, F.col("target") == F.col("callee_id")).select("caller", "callee_id", "callee")
+    by_id = by_id.join(calls.withColumnRenamed("target", "callee"), ["caller", "callee"], "left_anti")
+    named = calls.join(found, F.col("target") == F.col("callee"))
+    called = named.select("caller", "callee_id").unionByName(by_id.select("caller", "callee_id"))
+    return called.join(callers, F.col("caller") == F.col("name")).select("id", "callee_id")
 
 
 def edges_for_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
